@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliospark.llm import substring
+from foliospark.llm import ngram_join, packing, substring, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,4 +21,21 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(documents(spark, sf_dir))
 
 
-QUERIES |= {"op3_substring_dedup": op3_substring_dedup}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir)).withColumn("doc_id", F.col("id")).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+QUERIES |= {
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_pattern_packing": op8_pattern_packing,
+}
