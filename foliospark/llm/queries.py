@@ -7,35 +7,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ngram_join, packing, substring, token_counts
+from foliospark.llm import bwt_dedup, embedding_dedup, html_extract, mixing, ngram_join, packing, quality, substring, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.bwt_digest(table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.substring_digest(documents(spark, sf_dir))
+    return substring.substring_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(documents(spark, sf_dir)).withColumn("doc_id", F.col("id")).select("doc_id", "n_shingles", "component_id")
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_plan(table(spark, sf_dir, "documents"))
 
 
 QUERIES |= {
-    "op3_substring_dedup": op3_substring_dedup,
-    "op5_token_counts": op5_token_counts,
-    "op7_ngram_jaccard": op7_ngram_jaccard,
-    "op8_pattern_packing": op8_pattern_packing,
-}
+    f.__name__: f
+    for f in (
+        op1_bwt_dedup, op2_embedding_dedup, op3_substring_dedup, op4_warc_round_trip, op5_token_counts,
+        op6_quality_rules, op7_ngram_jaccard, op8_pattern_packing, op9_html_extract, op10_mixing,
+    )
+}
+
+ORACLES["op4_warc_round_trip"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+    f AS (SELECT d, max(page_id) AS first FROM p GROUP BY d)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+           CASE WHEN n >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND page_id < first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
+    FROM p JOIN f ON p.d = f.d
+"""
