@@ -22,10 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.kernels import slices
+from foliospark.llm.kernels import Texts, slices
+from foliospark.llm.pretoken_spans import encodings, ids_of
 from foliospark.llm.pretokens import pieces
 from foliospark.llm.shared import written
 
@@ -43,21 +45,46 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(s, length) for s in range(first, n, length)]
 
 
+def texts_ids(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a slice's texts end to end, and where each text's ids start."""
+    of = encodings(path)
+    marked = [i for i in range(len(column)) if of.added and (x := column[i].as_py()) and any(a in x for a in of.added)] if _holds(column, of.added) else []
+    if not marked:
+        return ids_of(of, Texts(column))
+    # texts that hold an added token's string are cut there, and put together again
+    whole = pieces(path)
+    parts, at = [], 0
+    for i in [*marked, len(column)]:
+        if i > at:
+            ids, off = ids_of(of, Texts(column.slice(at, i - at)))
+            parts += [ids[x:y] for x, y in zip(off[:-1], off[1:], strict=True)]
+        if i < len(column):
+            parts.append(np.frombuffer(whole.id_bytes(column[i].as_py()), "<u4"))
+        at = i + 1
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+def _holds(column: pa.Array, added: dict[str, int]) -> bool:
+    return any(pa.compute.any(pa.compute.match_substring(column, a)).as_py() for a in added)
+
+
 def _emit_pieces(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = end.to_bytes(4, "little")
-        for b in slices(batches, "k_body", 1 << 20):
-            of = pieces(path)
-            doc, piece, start, size, crc = [], [], [], [], []
-            for i, text in enumerate(b.column("k_body").to_pylist()):
-                ids = memoryview(of.id_bytes(text or "") + tail)
-                for k, (s, n) in enumerate(cut(len(ids) // 4, length)):
-                    doc.append(i)
-                    piece.append(k)
-                    start.append(s)
-                    size.append(n)
-                    crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
-            arrays = [b.column("doc_id").take(pa.array(doc, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
+        for b in slices(batches, "k_body"):
+            ids, off = texts_ids(path, b.column("k_body"))
+            n = np.diff(off) + 1  # with the end id
+            first = np.minimum((n - 1) % length + 1, n)
+            count = (n - first) // length + 1
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = np.where(piece == 0, 0, first[doc] + (piece - 1) * length)
+            size = np.where(piece == 0, first[doc], length)
+            raw, tail = memoryview(ids.astype("<u4").tobytes()), end.to_bytes(4, "little")
+            a = off[doc] + start
+            z = np.minimum(a + size, off[doc + 1])
+            last = start + size == n[doc]
+            crc = [zlib.crc32(tail, c) if e else c for c, e in ((zlib.crc32(raw[4 * x : 4 * y]), e) for x, y, e in zip(a.tolist(), z.tolist(), last.tolist(), strict=True))]
+            arrays = [b.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
