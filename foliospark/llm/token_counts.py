@@ -1,11 +1,12 @@
 """Token counts: pieces once per distinct pre-token, joined to each document's frequencies.
 
-Each slice of documents becomes a list of (document, pre-token, frequency); its distinct
-pre-tokens are counted in pieces once and joined in by hash, and the products are summed
-by document. No token ids are built for documents. The join stays inside the task: the
-table of distinct pre-tokens grows with the corpus, so it is neither broadcast nor are
-the far more numerous (document, pre-token) rows shuffled; a worker keeps the pieces of
-at most ``pretokens.MOST`` pre-tokens and asks the tokenizer again for others.
+Each slice of documents becomes rows of (document, pre-token, frequency); its distinct
+pre-tokens are counted in pieces once and joined in by their hash, and the products are
+summed by document. No token ids are built for documents. The join stays inside the
+task: the table of distinct pre-tokens grows with the corpus, so it is neither broadcast
+nor are the far more numerous (document, pre-token) rows shuffled; a worker keeps the
+pieces of at most ``pretoken_spans.TAKEN`` pre-tokens and asks the tokenizer again for
+others.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); added tokens whose string
 stands in a text count as one token, as the library does by default; repeated rows are
@@ -14,40 +15,43 @@ counted each; an empty table gives an empty result. Nothing is truncated.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from operator import mul
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.kernels import slices
+from foliospark.llm.kernels import Texts, slices
+from foliospark.llm.pretoken_spans import Encodings, encodings, spans
 from foliospark.llm.pretokens import pieces
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 
 
-def frequencies(text: str, path: str) -> tuple[Counter, int]:
-    """Pre-token frequencies of one text, and the added tokens in it."""
-    found, added = pieces(path).pretokens(text)
-    return Counter(found), len(added)
+def frequencies(e: Encodings, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, pre-token's slot, frequency) of a slice's texts, without zero rows."""
+    start, bound = spans(t)
+    slot = e.slots(t, start, np.append(start[1:], t.size))
+    doc = np.repeat(np.arange(t.n), np.diff(bound))
+    key, times = np.unique(doc * len(e.key) + slot, return_counts=True)
+    return key // len(e.key), key % len(e.key), times
 
 
 def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = pieces(path).counts
-        for b in slices(batches, "k_body", 1 << 20):
-            texts = [x or "" for x in b.column("k_body").to_pylist()]
-            freq = [frequencies(x, path) for x in texts]
-            vocabulary = set().union(*(c for c, _ in freq))
-            kept.learn(vocabulary)
-            worth = kept.__getitem__
-            n = np.array([sum(map(mul, map(worth, c), c.values())) + added for c, added in freq], np.int64)
-            size = pa.array([len(x.encode()) for x in texts], pa.int64())
+        e = encodings(path)
+        for b in slices(batches, "k_body"):
+            body = b.column("k_body")
+            doc, slot, times = frequencies(e, Texts(body))
+            n = np.bincount(doc, times * e.size[slot], b.num_rows).astype(np.int64)
+            for a in e.added:  # texts that hold an added token's string are cut there
+                for i in np.flatnonzero(np.asarray(pa.compute.match_substring(body, a).fill_null(False))):
+                    n[i] = len(pieces(path).id_bytes(body[int(i)].as_py())) // 4
+            size = pa.compute.binary_length(body.cast(pa.binary())).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run
