@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import Texts, Words, as_long, ints, lists, merged, rolling, run_starts, slices, sliding_min
-from foliospark.llm.shared import written
+from foliospark.llm.shared import done_with, written
 
 WIDTH = 50
 _LAST = (1 << 63) - 1
@@ -90,12 +90,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchors = written(keyed.mapInArrow(_emit_anchors(width), "anchor long, k_id long, k_text long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("k_id").alias("lo"), F.max("k_id").alias("hi")).where("lo < hi").select("anchor")
     by_doc = written(anchors.join(shared, "anchor").groupBy("k_id", "k_text").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
+    done_with(anchors)
     windows = written(
         keyed.join(by_doc, ["k_id", "k_text"]).mapInArrow(_emit_windows(width), "window long, k_id long, k_text long, start int"), "windows"
     )
     first = windows.groupBy("window").agg(F.min("k_id").alias("lo"), F.max("k_id").alias("hi")).where("lo < hi").select("window", "lo")
     hits = windows.join(first, "window").where("k_id > lo")
-    return written(hits.groupBy("k_id", "k_text").agg(F.collect_set("start").alias("starts")), "repeats")
+    out = written(hits.groupBy("k_id", "k_text").agg(F.collect_set("start").alias("starts")), "repeats")
+    done_with(by_doc, windows)
+    return out
 
 
 def _spans(b: pa.RecordBatch, w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
