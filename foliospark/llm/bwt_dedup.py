@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import U64, Texts, as_long, ints, merged, mix, powers, rolling, run_starts, slices, sliding_min
-from foliospark.llm.shared import written
+from foliospark.llm.shared import done_with, written
 from foliospark.llm.substring import _keyed, merged_inside
 
 LENGTH = 200
@@ -302,7 +302,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     anchors = written(keyed.mapInArrow(_emit_anchors(length), "anchor long, k_id long, k_text long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     by_doc = written(anchors.join(shared, "anchor").groupBy("k_id", "k_text").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
+    done_with(anchors)
     contexts = written(keyed.join(by_doc, ["k_id", "k_text"]).mapInArrow(_emit_contexts(length), _CONTEXT), "contexts")
+    done_with(by_doc)
     same = ["g", "context", "windows"]
     distinct = contexts.groupBy(*same).agg(F.count("*").alias("copies"), F.min(F.struct("k_id", "k_text", "start")).alias("p"), F.max("twin").alias("twin"))
     distinct = written(distinct, "distinct-contexts")
@@ -317,7 +319,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     merged_ = strings.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_merge(length), "k_id long, k_text long, start long, windows int")
     settled = distinct.where("copies > 1").select(*same)
     every = contexts.join(settled, same).select("k_id", "k_text", "start", "windows").unionByName(merged_)
-    return written(every.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("start", "windows")).alias("places")), "repeats")
+    out = written(every.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("start", "windows")).alias("places")), "repeats")
+    done_with(contexts, distinct, open_, per_doc)
+    return out
 
 
 def _spans(b: pa.RecordBatch, t: Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
