@@ -1,42 +1,6 @@
-"""Registry of the named queries and their reference SQL."""
+"""All named queries and their reference SQL."""
 
-from __future__ import annotations
+from foliospark.plans import corpus_queries, ledger_queries, reader_queries, report_queries, stream_queries, structure_queries, text_queries  # noqa: F401
+from foliospark.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from foliospark.functions.text import estimate_tokens
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under ``name``, with the SQL that gives the same rows where there is one."""
-
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "q_doc_tokens",
-    r"""
-    WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-    t AS (SELECT doc_id, length(line) AS n, length(regexp_replace(line, '[^\x{4e00}-\x{9fff}\x{3000}-\x{303f}]', '', 'g')) AS cjk FROM b)
-    SELECT doc_id, count(*) AS n_blocks, CAST(sum(cjk + (n - cjk + 3) // 4) AS BIGINT) AS tokens FROM t GROUP BY doc_id
-    """,
-)
-def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(estimate_tokens("line")).cast("long").alias("tokens"))
+__all__ = ["ORACLES", "QUERIES"]
