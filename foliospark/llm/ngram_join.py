@@ -13,9 +13,9 @@ ratio, or whose prefix overlap plus all that the rest could add, is too small ar
 discarded; for the others the overlap is completed over the second block.
 
 Within a column no list of all pairs is made while it can be avoided: documents with
-equal sets are one row, then each column's rows meet one row of their size class
-(different in each round), links are joined to components, and only pairs of rows
-that are still in different components are multiplied out, so that no link between
+equal sets are one row, then each column's rows meet a few rows of their size class
+(others in each round), links are joined to components, and only pairs of rows that
+are still in different components are multiplied out, so that no link between
 components is lost.
 
 Defined cases: null texts are empty; a null id links with nothing and has a null
@@ -35,15 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import U64, Texts, Words, lists, mix, rolling, run_starts, slices
-from foliospark.llm.shared import components, written
+from foliospark.llm.shared import components, done_with, written
 
 SHINGLE = 5
 PERCENT = 75
-#: Rounds in which the rows of a column meet one of them, before what is left is multiplied out.
-STAR_ROUNDS = 2
+#: How many rows of a column the others meet in each round, before what is left is multiplied out.
+CENTRES = (1, 8)
 #: Documents whose columns are counted together in search of frequent ones; a column of
 #: more than FREQUENT / COUNTED of all documents is found in at least one such block.
-COUNTED, FREQUENT = 2048, 3
+COUNTED, FREQUENT = 8192, 2
+#: Ids of candidates that are sent to every task (four megabytes); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Most columns that the frequency order tells apart; it orders columns and drops none.
 ORDERED = 1 << 17
 
@@ -89,7 +91,7 @@ def _count_frequent(n: int):
             h, _, rows = shingle_sets(b.column("k_body"), n)
             have.append(h)
             docs += rows
-            if docs >= COUNTED or sum(map(len, have)) > 4 << 20:
+            if docs >= COUNTED or sum(map(len, have)) > 2 << 20:
                 yield flush()
                 have, docs = [], 0
         yield flush()
@@ -153,68 +155,105 @@ def _overlap_ok(overlap: str, percent: int) -> Column:
     return F.expr(f"({100 + percent}) * ({overlap}) >= {percent} * (na + nb)")
 
 
+def _reach_ok(left: str, percent: int) -> Column:
+    """The least number of columns from a common one on is enough for a link.
+
+    In a linked pair this holds for the first common column in the global order.
+    """
+    return F.expr(f"{100 + percent} * {left} >= {percent} * (na + nb)")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` for a join: sent to every task where it has at most BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 class Product:
     """The links between rows with different sets, found block by block."""
 
     def __init__(self, docs: DataFrame, rows: DataFrame, n: int, percent: int):
         self.docs, self.n, self.percent = docs, n, percent
+        self.spent: list[DataFrame] = []
         live = rows.where("size > 0 and id is not null")
+        same = F.struct("size", "mark_a", "mark_b").alias("same")
         #: one row stands for all with its set
-        self.members = written(
-            live.select("id", F.struct("size", "mark_a", "mark_b").alias("same")).join(
-                live.groupBy(F.struct("size", "mark_a", "mark_b").alias("same")).agg(F.min("id").alias("rep")), "same"
-            ).select("id", "rep").distinct(),
-            "members",
-        )
-        index = live.select("id", "size", F.explode("prefix").alias("gram"))
-        shared = index.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
-        reps = self.members.where("id = rep").select("id")
-        self.index = written(index.join(shared, "gram").join(reps, "id", "left_semi"), "columns")
-        self.blocks = written(self.index.groupBy("id", "size").agg(F.collect_set("gram").alias("block")), "blocks")
+        stands = live.groupBy(same).agg(F.min("id").alias("rep"))
+        self.members = written(live.select("id", same).join(stands, "same").select("id", "rep").distinct(), "members")
+        others = small(written(self.members.where("id <> rep").select("id"), "others"))
+        index = live.join(others, "id", "left_anti").select("id", F.posexplode("prefix").alias("at", "gram"), "size")
+        # of a linked pair the smaller row has the first common column this far ahead
+        ahead = F.max(F.expr(f"{100 + percent} * (size - at) >= {2 * percent} * size"))
+        shared = index.groupBy("gram").agg(F.count("*").alias("n"), ahead.alias("ahead")).where("n > 1").select("gram", "ahead")
+        own = index.select("gram", "id", F.col("at").cast("int").alias("at")).join(shared, "gram")
+        #: the prefix columns of each row that other rows have too
+        blocks = own.groupBy("id").agg(F.collect_set(F.struct("gram", "at", "ahead")).alias("block"))
+        sizes = live.join(others, "id", "left_anti").groupBy("id").agg(F.max("size").alias("size"))
+        self.blocks = written(blocks.join(sizes, "id"), "blocks")
+
+    def index(self) -> DataFrame:
+        """(gram, id, size, left, known): columns that links can be found by.
+
+        ``left``: columns of the row from this one on; ``known``: the part of the prefix
+        that others have, largest in what others were copied from.
+        """
+        known = F.size("block") / F.ceil(F.col("size") * (100 - self.percent) / 100 + 1)
+        x = self.blocks.select("id", "size", known.alias("known"), F.explode("block").alias("x")).where("x.ahead")
+        return x.select(F.col("x.gram").alias("gram"), "id", "size", (F.col("size") - F.col("x.at")).cast("int").alias("left"), F.col("known").cast("float").alias("known"))
 
     def overlap(self, pairs: DataFrame) -> DataFrame:
         """Keep the pairs (a, b, na, nb) that link: first block, bound, second block."""
         p = self.percent
-        side = lambda x, c: self.blocks.select(F.col("id").alias(x), F.col("block").alias(f"{c}{x}"))
+        side = lambda x, c: self.blocks.select(F.col("id").alias(x), F.col("block.gram").alias(f"{c}{x}"))
         first = pairs.join(side("a", "block_"), "a").join(side("b", "block_"), "b").withColumn("o", F.size(F.array_intersect("block_a", "block_b")))
         rest = f"greatest(ceil({p} * na / 100), ceil({p} * nb / 100))"
         near = written(first.where(_overlap_ok(f"o + {rest}", p)).select("a", "b", "na", "nb"), "near")
         ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        whole = written(self.docs.join(ids, "id").mapInArrow(_emit_sets(self.n), "id long, whole array<long>"), "sets")
+        # where the ids are few the texts stay in place
+        whole = written(self.docs.join(small(ids), "id").mapInArrow(_emit_sets(self.n), "id long, whole array<long>"), "sets")
+        self.spent += [near, whole]
         side = lambda x: whole.select(F.col("id").alias(x), F.col("whole").alias(f"whole_{x}"))
         both = near.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("whole_a", "whole_b")))
         return both.where(_overlap_ok("o", p)).select("a", "b").distinct()
 
     def star_pairs(self, index: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each row and the row that stands for its column and size class."""
+        """Pairs of each row and the rows that stand for its column and size class.
+
+        In the first round that is the row most of whose columns others have too, as what
+        copies were made from has; in later ones any.
+        """
         step = np.log(100 / self.percent)
         x = index.withColumn("level", F.floor(F.log("size") / F.lit(float(step)) + 1e-9).cast("int"))
-        centre = x.groupBy("gram", "level").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), "id", "size", "component")).alias("c"))
-        met = x.withColumn("level", F.explode(F.array("level", F.col("level") - 1))).join(centre, ["gram", "level"])
+        first = F.lit(0) if turn else -F.col("known")
+        chosen = [F.min(F.struct(first.alias("f"), F.xxhash64("id", F.lit(turn), F.lit(k)).alias("r"), "id", "size", "component", "left")) for k in range(CENTRES[turn])]
+        centre = x.groupBy("gram", "level").agg(F.array(*chosen).alias("cs")).select("gram", "level", F.explode(F.array_distinct("cs")).alias("c"))
+        centre = centre.withColumnRenamed("level", "c_level")
+        met = x.join(centre, "gram").where("c_level = level or c_level = level - 1")
         return met.where("component <> c.component").select(
             F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"),
             F.when(F.col("id") < F.col("c.id"), F.col("size")).otherwise(F.col("c.size")).alias("na"),
-            F.when(F.col("id") < F.col("c.id"), F.col("c.size")).otherwise(F.col("size")).alias("nb"),
-        ).where(_size_ok(self.percent)).distinct()
+            F.when(F.col("id") < F.col("c.id"), F.col("c.size")).otherwise(F.col("size")).alias("nb"), F.least("left", "c.left").alias("left"),
+        ).where(_size_ok(self.percent) & _reach_ok("left", self.percent)).select("a", "b", "na", "nb").distinct()
 
     def cross_pairs(self, index: DataFrame) -> DataFrame:
         """All pairs of rows of a column that are in different components."""
-        open_ = index.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-        x = index.join(open_, "gram", "left_semi")
-        y = x.select("gram", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("component").alias("cb"))
-        met = x.join(y, "gram").where("id < b and component <> cb").select(F.col("id").alias("a"), "b", F.col("size").alias("na"), "nb")
-        met = met.where(_size_ok(self.percent))
-        rest = f"greatest(ceil({self.percent} * na / 100), ceil({self.percent} * nb / 100))"
-        return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o")).where(_overlap_ok(f"o + {rest}", self.percent)).drop("o")
+        x = index
+        y = x.select("gram", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("component").alias("cb"), F.col("left").alias("lb"))
+        p = self.percent
+        near = F.expr(f"id < b and component <> cb and 100 * least(size, nb) >= {p} * greatest(size, nb) and {100 + p} * least(left, lb) >= {p} * (size + nb)")
+        met = x.join(y, "gram").where(near).select(F.col("id").alias("a"), "b", F.col("size").alias("na"), "nb")
+        return met.distinct()
 
     def labels(self) -> DataFrame:
         """(id, component) of the representatives that link with another."""
         label, tested = None, None
-        for turn in range(STAR_ROUNDS + 1):
-            index = self.index.withColumn("component", F.col("id"))
+        index = self.index().withColumn("component", F.col("id"))
+        for turn in range(len(CENTRES) + 1):
             if label is not None:
-                index = self.index.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            pairs = self.star_pairs(index, turn) if turn < STAR_ROUNDS else self.cross_pairs(index)
+                # columns whose rows are all in one component are done with
+                index = index.drop("component").join(small(label), "id", "left").withColumn("component", F.coalesce("component", "id"))
+                several = index.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
+                index = written(index.join(several, "gram", "left_semi"), "open")
+            pairs = self.star_pairs(index, turn) if turn < len(CENTRES) else self.cross_pairs(index)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = written(pairs, "pairs")
@@ -227,6 +266,8 @@ class Product:
                 same = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
                 found = found.join(same("a"), "a", "left").join(same("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
             step = components(found)
+            done_with(*self.spent)
+            self.spent = []
             if label is None:
                 label = written(step.select(F.col("node").alias("id"), "component"), "labels")
             else:
