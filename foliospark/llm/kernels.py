@@ -6,13 +6,14 @@ document boundaries, and use 64-bit wrap-around arithmetic throughout.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -179,19 +180,33 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[at], reach[np.append(at[1:] - 1, len(start) - 1)]
 
 
+def cuts(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, rows) of stretches of a text column of near ``most`` bytes each."""
+    size = np.cumsum(np.asarray(pa.compute.binary_length(column.cast(pa.large_binary())).fill_null(0), dtype=np.int64))
+    at, n = 0, len(column)
+    while at < n:
+        base = size[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(size, base + most, side="right")))
+        yield at, to - at
+        at = to
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the named text column stays near ``most`` bytes."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        col = batch.column(batch.schema.get_field_index(column))
-        size = np.cumsum(np.asarray(pa.compute.binary_length(col.cast(pa.large_binary())).fill_null(0), dtype=np.int64))
-        at, n = 0, batch.num_rows
-        while at < n:
-            base = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, base + most, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
+        for at, n in cuts(batch.column(batch.schema.get_field_index(column)), most):
+            yield batch.slice(at, n)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task; workers are kept for others."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def as_long(h: np.ndarray) -> pa.Array:

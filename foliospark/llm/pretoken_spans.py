@@ -17,7 +17,7 @@ from foliospark.llm.kernels import U64, Texts, span_codes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Slots of a worker's table, and how many may be taken before it is thinned.
-SLOTS, TAKEN = 1 << 22, 1 << 21
+SLOTS, TAKEN = 1 << 21, 1 << 20
 
 
 @lru_cache(maxsize=1)

@@ -7,10 +7,13 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS = 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -23,29 +26,48 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ROWS rows from now on: they hold whole texts on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, ROWS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     Losing executors loses none of it, and shuffle files of the finished part can go.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
     release(spark)
     return out
 
 
+def done_with(*frames: DataFrame | None) -> None:
+    """Delete tables of ``written`` that nothing reads any more; their room is needed."""
+    for df in frames:
+        if (at := getattr(df, "_written", None)) is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files to which nothing refers any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def stretch(df: DataFrame, size_of: Column | None = None) -> int:
-    """Partitions for an even split of work that is heavier than its bytes suggest."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def few(df: DataFrame, lists: str, most: int) -> DataFrame:
+    """``df`` for a join: sent to every task where it holds at most ``most`` rows and list
+    elements together (checked), so that texts on the other side stay where they are."""
+    held = df.agg(F.sum(F.size(lists) + F.lit(4))).head()[0] or 0
+    return F.broadcast(df) if held <= most else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -69,6 +91,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         nxt = written(small.where("u <> v").distinct(), "edges")
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+        done_with(e)
         e = nxt
         if now == before:
             break
