@@ -124,7 +124,18 @@ def fit(found: list[Pattern], have: np.ndarray, sweeps: int = 60) -> np.ndarray:
 
 
 def plan(have: np.ndarray, length: int) -> list[tuple[Pattern, int]]:
-    """(pattern, repeats) that use up the histogram exactly."""
+    """(pattern, repeats) that use up the histogram exactly: the shortest of a few.
+
+    They differ in the part of the fitted repeats that is taken before the rest is packed
+    best-fit, and in whether the rest looks for exact fills of several pieces first.
+    """
+    found = patterns(have, length)
+    repeats = fit(found, have)
+    tried = [_packed(have, length, found, np.floor(part * repeats + 1e-9), exact) for part in (1.0, 0.95, 0.8, 0.5) for exact in (False, True)]
+    return min(tried, key=lambda x: sum(n for _, n in x))
+
+
+def _packed(have: np.ndarray, length: int, found: list[Pattern], repeats: np.ndarray, exact: bool) -> list[tuple[Pattern, int]]:
     left = have.astype(np.int64).copy()
     out: list[tuple[Pattern, int]] = []
 
@@ -135,22 +146,44 @@ def plan(have: np.ndarray, length: int) -> list[tuple[Pattern, int]]:
             for a in p:
                 left[a] -= n
 
-    found = patterns(left, length)
-    repeats = np.floor(fit(found, left) + 1e-9).astype(np.int64)
     for k in np.argsort(-repeats, kind="stable"):
         use(found[k], int(repeats[k]))
     while (there := np.flatnonzero(left)).size:
         p, gap = [int(there[-1])], length - int(there[-1])
         spare = left.copy()
         spare[p[0]] -= 1
-        while gap > 0 and (fits := np.flatnonzero(spare[: gap + 1])).size:
-            p.append(int(fits[-1]))
-            spare[p[-1]] -= 1
-            gap -= p[-1]
+        while gap > 0 and (best := _filler(spare, gap, exact)):
+            p += best
+            for a in best:
+                spare[a] -= 1
+            gap -= sum(best)
         use(tuple(p), 1 << 62)
     return out
 
 
+def _filler(spare: np.ndarray, gap: int, exact: bool) -> list[int]:
+    """Pieces that fill the gap exactly, at most three if asked; else the largest that fits."""
+
+    def pair(g: int) -> list[int]:
+        a = np.arange(1, g // 2 + 1)
+        good = (spare[a] > 0) & (spare[g - a] > (a == g - a))
+        return [int(g - a[good][0]), int(a[good][0])] if good.any() else []
+
+    if spare[gap]:
+        return [gap]
+    fits = np.flatnonzero(spare[:gap])
+    if exact and (both := pair(gap)):
+        return both
+    for c in fits[::-1][: 24 * exact].tolist():
+        if gap - c > 1:
+            spare[c] -= 1
+            rest = pair(gap - c)
+            spare[c] += 1
+            if rest:
+                return [c, *rest]
+    return [int(fits[-1])] if fits.size else []
+
+
 def ranges(packed: list[tuple[Pattern, int]], length: int) -> dict[str, np.ndarray]:
     """Ranges of ranks within lengths: from which rank on, first sequence, offset."""
     seen = np.zeros(length + 1, np.int64)
