@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import estimate_tokens, strip
+from foliospark.functions.text import estimate_tokens, snippet, strip
 
 LEVELS = range(1, 7)
 MOST_SECTIONS, LISTED_SECTIONS = 3, 20
@@ -128,8 +128,6 @@ def search(blocks: DataFrame, query: str, limit: int = 10, by: str = "doc_id", o
     for t in terms:
         hit = hit & F.contains(low, F.lit(t))
         score = score + ((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int")
-    from foliospark.functions.text import snippet
-
     found = blocks.where(hit).withColumn("score", score).withColumn("snippet", snippet("text", F.lit(terms[0])))
     cols = [c for c in (by, "ord", "page", "path", "score", "snippet") if c in found.columns]
     return found.orderBy(F.desc("score"), order or by, "ord").limit(min(max(limit, 1), 50)).select(*cols)

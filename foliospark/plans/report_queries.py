@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators.evaluate import by_channel, common_ids, digit_dense, grouped_report, on_common, pairwise, rescored_delta, score, summarise, to_retry, worst
+from foliospark.functions.metrics import kendall
+from foliospark.operators.evaluate import by_channel, common_ids, digit_dense, grouped_report, on_common, pairwise, rescored_delta, score, summarise, to_retry, truths_from_blocks, worst
+from foliospark.operators.render import render_markdown
 from foliospark.plans.registry import query, table
+from foliospark.sources.parse import html_nodes
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +156,6 @@ def q_cell_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def q_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from foliospark.functions.metrics import kendall
-
     xs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"]).alias("xs"))
     ties = F.size(F.array_distinct("xs")) == 1
     return xs.where(F.size("xs") > 1).select("conv_id", F.when(~ties, F.round(kendall(F.col("xs")), 6)).alias("tau"))
@@ -163,10 +164,6 @@ def q_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_score_documents")
 def q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of pages scored against the heading and text that their articles hold."""
-    from foliospark.operators.evaluate import truths_from_blocks
-    from foliospark.operators.render import render_markdown
-    from foliospark.sources.parse import html_nodes
-
     nodes = html_nodes(table(spark, sf_dir, "pages"))
     md = render_markdown(nodes).select(F.col("doc_id").cast("string").alias("id"), F.lit("own").alias("engine"), F.col("text").alias("markdown"))
     truth = nodes.where("type in ('heading', 'paragraph')").select("doc_id", "ord", F.col("type").alias("kind"), "level", F.col("content").alias("text"), "grid")

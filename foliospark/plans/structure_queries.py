@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators.blocks import flatten, grid_markdown, line_blocks, outline, search, section_text, with_path, with_sections
@@ -120,8 +120,6 @@ _PSEUDO = "SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source
 
 def pseudo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source as the pages of one document."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("source").orderBy("doc_id")
     return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.row_number().over(w).alias("page"), "text")
 
