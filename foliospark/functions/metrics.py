@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import cjk_ratio, col, norm_text, numbers, token_distance, tokens
+from foliospark.functions.text import cjk_ratio, col, edit_distance, norm_text, numbers, token_distance, tokens
 
 #: Characters and words that similarity looks at, at most; the heading match.
 MOST_CHARS = 400_000
@@ -22,14 +22,25 @@ def similarity(a: Column, b: Column) -> Column:
 
 def char_sim(pred: str | Column, truth: str | Column) -> Column:
     """Character similarity of the normalised texts."""
-    return similarity(norm_text(pred), norm_text(truth))
+    return plain_sim(norm_text(pred), norm_text(truth))
+
+
+def plain_sim(p: Column, t: Column) -> Column:
+    """As ``similarity``, for long normalised texts."""
+    a, b = F.left(p, F.lit(MOST_CHARS)), F.left(t, F.lit(MOST_CHARS))
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - edit_distance(a, b) / longer)
 
 
 def cer(pred: str | Column, truth: str | Column) -> Column:
     """Error rate: by character where the truth is mostly CJK, else by word; at most 1."""
-    p, t = norm_text(pred), norm_text(truth)
+    return plain_cer(norm_text(pred), norm_text(truth))
+
+
+def plain_cer(p: Column, t: Column) -> Column:
+    """As ``cer``, for normalised texts."""
     bare = lambda x: F.regexp_replace(x, r"(?U)\s", "")
-    by_char = F.levenshtein(bare(p), bare(t)) / F.greatest(F.length(bare(t)), F.lit(1))
+    by_char = edit_distance(bare(p), bare(t)) / F.greatest(F.length(bare(t)), F.lit(1))
     by_word = token_distance(tokens(p), tokens(t)) / F.greatest(F.size(tokens(t)), F.lit(1))
     some = F.when(cjk_ratio(t) > 0.3, by_char).otherwise(by_word)
     return F.when(F.length(t) == 0, F.when(F.length(p) == 0, 0.0).otherwise(1.0)).otherwise(F.least(some, F.lit(1.0)))
@@ -68,7 +79,11 @@ def cell_f1(pred: Column, truth: Column) -> Column:
 
 def digit_stats(pred: str | Column, truth: str | Column) -> Column:
     """struct of digit_f1, digit_precision, digit_recall, digit_n_truth, digit_n_pred."""
-    p, t = numbers(pred), numbers(truth)
+    return number_stats(numbers(pred), numbers(truth))
+
+
+def number_stats(p: Column, t: Column) -> Column:
+    """As ``digit_stats``, for arrays of numbers (columns: lambdas read them once for each element)."""
     tp, n_p, n_t = shared_count(p, t), F.size(p), F.size(t)
     prec = F.when(n_p > 0, tp / n_p).when(n_t == 0, 1.0).otherwise(0.0)
     rec = F.when(n_t > 0, tp / n_t).when(n_p == 0, 1.0).otherwise(0.0)
@@ -82,7 +97,7 @@ def heading_tp(pred: Column, truth: Column) -> Column:
     """Greedy one-to-one matches: each heading takes the most similar free truth heading."""
 
     def step(state: Column, p: Column) -> Column:
-        scored = F.transform(state["free"], lambda t, i: F.struct(char_sim(p, t).alias("s"), (-i).alias("i")))
+        scored = F.transform(state["free"], lambda t, i: F.struct(similarity(p, t).alias("s"), (-i).alias("i")))
         best = F.array_max(scored)
         hit = F.coalesce(best["s"] >= HEADING_MATCH, F.lit(False))
         left = F.filter(state["free"], lambda _, i: i != -best["i"])
@@ -92,7 +107,7 @@ def heading_tp(pred: Column, truth: Column) -> Column:
 
 
 def heading_f1(pred: str | Column, truth: str | Column) -> Column:
-    pred, truth = col(pred), col(truth)
+    pred, truth = F.transform(col(pred), norm_text), F.transform(col(truth), norm_text)
     tp = heading_tp(pred, truth)
     p = precision(tp, F.size(pred) - tp, F.size(truth) - tp)
     return F.when((F.size(pred) == 0) & (F.size(truth) == 0), 1.0).otherwise(f_score(p, recall(tp, F.size(truth) - tp)))
@@ -111,9 +126,12 @@ def kendall(positions: Column) -> Column:
     return F.when(n < 2, None).when(add(total) == 0, 1.0).otherwise(add(pair) / add(total))
 
 
+def anchors(plain: Column, paragraphs: Column) -> Column:
+    """Where the beginnings of the paragraphs stand in a normalised text."""
+    keys = F.filter(F.transform(paragraphs, norm_text), lambda k: F.length(k) >= ANCHOR_LEAST)
+    return F.filter(F.transform(keys, lambda k: F.position(F.left(k, F.lit(ANCHOR)), plain)), lambda i: i > 0)
+
+
 def order_tau(pred: str | Column, paragraphs: str | Column) -> Column:
     """Order of the truth's paragraphs in the output, by where each one's beginning stands."""
-    p = norm_text(pred)
-    keys = F.filter(F.transform(col(paragraphs), norm_text), lambda k: F.length(k) >= ANCHOR_LEAST)
-    at = F.filter(F.transform(keys, lambda k: F.position(F.left(k, F.lit(ANCHOR)), p)), lambda i: i > 0)
-    return kendall(at)
+    return kendall(anchors(norm_text(pred), col(paragraphs)))

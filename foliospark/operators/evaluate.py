@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.metrics import cell_f1, cer, char_sim, digit_stats, heading_f1, order_tau
-from foliospark.functions.text import cjk_inner_spaces, compat_residual, length_ratio, md_headings, md_tables, norm_text, norm_ws
+from foliospark.functions.metrics import anchors, heading_f1, kendall, multiset_f1, number_stats, plain_cer, plain_sim
+from foliospark.functions.text import cjk_inner_spaces, compat_residual, md_headings, md_tables, norm_text, norm_ws, numbers
 
 # Columns whose means the report gives, and statuses that count as done.
 QUALITY = ("char_sim", "cer", "heading_f1", "cell_f1", "order_tau", "digit_f1")
@@ -25,22 +25,31 @@ def score(results: DataFrame, truths: DataFrame) -> DataFrame:
     t = truths.select(F.col("id"), F.col("text").alias("t_text"), F.col("headings").alias("t_headings"), F.col("paragraphs").alias("t_paragraphs"), F.col("tables").alias("t_tables"))
     out = results.join(t, "id", "left")
     both = F.col("t_text").isNotNull() & F.col("markdown").isNotNull()
-    d = F.when(both, digit_stats("markdown", "t_text"))
-    out = out.withColumn("_d", d)
-    digits = (F.col("_d.digit_n_truth") + F.col("_d.digit_n_pred")) > 0
-    truth_heads = F.transform("t_headings", norm_text)
+    # parts that several metrics or their lambdas read are columns of their own
+    out = out.withColumn("_p", norm_text("markdown")).withColumn("_t", norm_text("t_text"))
     truth_cells = F.transform("t_tables", lambda tb: F.transform(tb, lambda r: F.transform(r, norm_text)))
+    flat = lambda c: F.filter(F.flatten(F.flatten(c)), lambda x: x != "")
+    out = out.withColumns(
+        {
+            "_np": numbers("markdown"), "_nt": numbers("t_text"), "_hp": md_headings("markdown"), "_ht": F.transform("t_headings", norm_text), "_tp": md_tables("markdown"),
+            "_ct": flat(truth_cells), "_at": anchors(F.col("_p"), F.col("t_paragraphs")),
+        }
+    ).withColumn("_cp", flat(F.col("_tp")))
+    out = out.withColumn("_d", F.when(both, number_stats(F.col("_np"), F.col("_nt"))))
+    digits = (F.col("_d.digit_n_truth") + F.col("_d.digit_n_pred")) > 0
+    n_t, n_p = F.length("_t"), F.length("_p")
     return out.withColumns(
         {
-            "char_sim": F.when(both, char_sim("markdown", "t_text")), "cer": F.when(both, cer("markdown", "t_text")), "length_ratio": F.when(both, length_ratio("markdown", "t_text")),
-            "heading_f1": F.when(F.col("t_headings").isNotNull(), heading_f1(md_headings("markdown"), truth_heads)),
-            "cell_f1": F.when(F.col("t_tables").isNotNull(), cell_f1(md_tables("markdown"), truth_cells)),
-            "table_count_diff": F.when(F.col("t_tables").isNotNull(), F.size(md_tables("markdown")) - F.size("t_tables")),
-            "order_tau": F.when(F.col("t_paragraphs").isNotNull(), order_tau("markdown", "t_paragraphs")),
+            "char_sim": F.when(both, plain_sim(F.col("_p"), F.col("_t"))), "cer": F.when(both, plain_cer(F.col("_p"), F.col("_t"))),
+            "length_ratio": F.when(both, F.when(n_t > 0, n_p / n_t).when(n_p == 0, 0.0).otherwise(F.lit(float("inf")))),
+            "heading_f1": F.when(F.col("t_headings").isNotNull(), heading_f1("_hp", "_ht")),
+            "cell_f1": F.when(F.col("t_tables").isNotNull(), multiset_f1(F.col("_cp"), F.col("_ct"))),
+            "table_count_diff": F.when(F.col("t_tables").isNotNull(), F.size("_tp") - F.size("t_tables")),
+            "order_tau": F.when(F.col("t_paragraphs").isNotNull(), kendall(F.col("_at"))),
             "compat_residual": compat_residual("markdown"), "cjk_inner_spaces": cjk_inner_spaces("markdown"),
             **{k: F.when(digits, F.col(f"_d.{k}")) for k in ("digit_f1", "digit_precision", "digit_recall", "digit_n_truth", "digit_n_pred")},
         }
-    ).drop("_d", "t_text", "t_headings", "t_paragraphs", "t_tables")
+    ).drop("_d", "_p", "_t", "_np", "_nt", "_hp", "_ht", "_tp", "_cp", "_ct", "_at", "t_text", "t_headings", "t_paragraphs", "t_tables")
 
 
 def truths_from_blocks(blocks: DataFrame, with_headings: Column | None = None) -> DataFrame:
