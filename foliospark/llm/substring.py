@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import Texts, Words, as_long, ints, lists, merged, rolling, run_starts, slices, sliding_min
-from foliospark.llm.shared import done_with, written
+from foliospark.llm.shared import done_with, few, written
 
 WIDTH = 50
 _LAST = (1 << 63) - 1
+#: Rows and list elements that may go to every task where the lists are few (sixteen megabytes or so).
+SENT = 2_000_000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -84,15 +86,19 @@ def _emit_windows(width: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(k_id, k_text, starts): word positions of the windows that start in a smaller document."""
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sent: int = 0) -> DataFrame:
+    """(k_id, k_text, starts): word positions of the windows that start in a smaller document.
+
+    Lists of up to ``sent`` rows and elements go to every task instead of joining by a shuffle
+    of the texts; that suits a corpus already without near duplicates.
+    """
     keyed = _keyed(docs, id_col, text_col)
     anchors = written(keyed.mapInArrow(_emit_anchors(width), "anchor long, k_id long, k_text long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("k_id").alias("lo"), F.max("k_id").alias("hi")).where("lo < hi").select("anchor")
     by_doc = written(anchors.join(shared, "anchor").groupBy("k_id", "k_text").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
     done_with(anchors)
     windows = written(
-        keyed.join(by_doc, ["k_id", "k_text"]).mapInArrow(_emit_windows(width), "window long, k_id long, k_text long, start int"), "windows"
+        keyed.join(few(by_doc, "anchors", sent), ["k_id", "k_text"]).mapInArrow(_emit_windows(width), "window long, k_id long, k_text long, start int"), "windows"
     )
     first = windows.groupBy("window").agg(F.min("k_id").alias("lo"), F.max("k_id").alias("hi")).where("lo < hi").select("window", "lo")
     hits = windows.join(first, "window").where("k_id > lo")
@@ -184,17 +190,17 @@ def _cut(columns: list[str], width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, spans_col: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, spans_col: str | None = None, sent: int = 0) -> DataFrame:
     """``docs`` with repeated passages cut out of the text.
 
     With ``spans_col``, that column holds the removed word intervals as a flat list
     (start, end, start, end, ...).
     """
     names = docs.columns
-    hits = repeated_windows(docs, id_col, text_col, width)
+    hits = repeated_windows(docs, id_col, text_col, width, sent)
     inner = docs.toDF(*[f"c_{i}" for i in range(len(names))])
     at, body = f"c_{names.index(id_col)}", f"c_{names.index(text_col)}"
-    all_cols = _keyed(inner, at, body, *inner.columns).join(hits, ["k_id", "k_text"], "left").drop("k_id", "k_text")
+    all_cols = _keyed(inner, at, body, *inner.columns).join(few(hits, "starts", sent), ["k_id", "k_text"], "left").drop("k_id", "k_text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema) + ", k_out string, k_spans array<long>"
     out = all_cols.mapInArrow(_cut(names, width), schema)
     cols = [F.col("k_out" if f"c_{i}" == body else f"c_{i}").alias(c) for i, c in enumerate(names)]
