@@ -7,7 +7,8 @@ further scaling). A document is sampled when a hash of its id falls below its ce
 
 Targets are tempered shares: a marginal's share to a power (one keeps it, zero makes it
 flat), normalised. Only the cell table is fitted: on the driver up to CELLS cells
-(checked), beyond that as DataFrames written every round.
+(checked), beyond that as DataFrames written every round; both run the same rounds and
+stop at the same change.
 
 Defined cases: nulls in source or language are categories of their own; null texts have
 no tokens and topic 0; rows that repeat an id are sampled together; an empty table gives
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import U64, Texts, Words, cuts, give_back
-from foliospark.llm.shared import written
+from foliospark.llm.shared import done_with, written
 
 CELLS = 200_000
 TOPICS = 8
@@ -94,21 +95,35 @@ def rake(cells: pd.DataFrame, dims: list[str], powers: list[float], budget: floa
 
 
 def rake_frames(cells: DataFrame, dims: list[str], powers: list[float], budget: float, rounds: int) -> DataFrame:
-    """``rake`` for cell tables that are too large for the driver; adds ``rate``."""
+    """``rake`` for cell tables that are too large for the driver; adds ``rate``.
+
+    The sums of a marginal are sent to every task up to CELLS categories (checked).
+    """
     total = cells.agg(F.sum("tokens")).head()[0] or 0
-    now = cells.withColumn("want", F.col("tokens") * F.lit(budget))
-    for _ in range(min(rounds, 20)):
-        for d, power in zip(dims, powers, strict=True):
-            by = now.groupBy(d).agg(F.sum("tokens").alias("share"), F.sum("want").alias("sum"), F.sum(F.when(F.col("want") >= F.col("tokens"), F.col("want")).otherwise(0.0)).alias("held"))
-            tempered = F.when(F.col("share") > 0, F.pow("share", F.lit(power))).otherwise(0.0)
-            norm = by.agg(F.sum(tempered)).head()[0] or 1.0
-            by = by.withColumn("target", F.lit(budget * total / norm) * tempered).select(F.col(d).alias("k_d"), "target", "sum", "held")
-            joined = now.join(by, now[d].eqNullSafe(by["k_d"]))
+    aims = []
+    for d, power in zip(dims, powers, strict=True):
+        by = cells.groupBy(F.col(d).alias("k_t")).agg(F.sum("tokens").alias("share"))
+        tempered = F.when(F.col("share") > 0, F.pow("share", F.lit(power))).otherwise(0.0)
+        norm = by.agg(F.sum(tempered)).head()[0] or 1.0
+        aim = written(by.select("k_t", (F.lit(budget * total / norm) * tempered).alias("target")), "targets")
+        aims.append((d, aim, aim.count() <= CELLS))
+    now = cells.withColumn("want", F.col("tokens") * F.lit(float(budget)))
+    for _ in range(rounds):
+        last, now = now, now.withColumn("before", F.col("want"))
+        for d, aim, few in aims:
+            by = now.groupBy(F.col(d).alias("k_d")).agg(F.sum("want").alias("sum"), F.sum(F.when(F.col("want") >= F.col("tokens"), F.col("want")).otherwise(0.0)).alias("held"))
+            by = by.join(aim, F.col("k_d").eqNullSafe(F.col("k_t"))).drop("k_t")
+            joined = now.join(F.broadcast(by) if few else by, now[d].eqNullSafe(by["k_d"]))
             free = F.col("sum") - F.col("held")
             scale = F.when(F.col("held") > F.col("target"), F.col("target") / F.col("sum")).when((F.col("want") >= F.col("tokens")) | (free <= 0), 1.0).otherwise(F.greatest(F.col("target") - F.col("held"), F.lit(0.0)) / free)
-            now = joined.withColumn("want", F.least(F.col("want") * scale, F.col("tokens").cast("double"))).select(*cells.columns, "want")
+            now = joined.withColumn("want", F.least(F.col("want") * scale, F.col("tokens").cast("double"))).select(*cells.columns, "want", "before")
         now = written(now, "raked")
-    return now.withColumn("rate", F.when(F.col("tokens") > 0, F.col("want") / F.col("tokens")).otherwise(0.0)).drop("want")
+        moved = now.agg(F.max(F.abs(F.col("want") - F.col("before")))).head()[0] or 0.0
+        done_with(last)
+        if moved <= 1e-9 * total:
+            break
+    done_with(*(aim for _, aim, _ in aims))
+    return now.withColumn("rate", F.when(F.col("tokens") > 0, F.col("want") / F.col("tokens")).otherwise(0.0)).drop("want", "before")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", mix: Mix | None = None, cells_limit: int = CELLS) -> DataFrame:

@@ -88,6 +88,18 @@ def test_raking_as_frames_equals_the_driver(spark, docs):
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 0.05 for k in one)
 
 
+def test_raking_as_frames_runs_until_it_settles(spark):
+    mix, rng = mixing.Mix(), np.random.default_rng(1)
+    cells = pd.DataFrame([(None if s == 5 else f"s{s}", k, t) for s in range(12) for k in ("a", "b", None) for t in range(8)], columns=["s", "l", "t"])
+    cells["tokens"] = (rng.pareto(0.7, len(cells)) * 50 * np.where(cells["s"] == "s0", 300, 1)).astype(int)
+    dims, powers = ["s", "l", "t"], [mix.source, mix.lang, mix.topic]
+    want = mixing.rake(cells, dims, powers, mix.budget, mix.rounds)
+    assert np.abs(want - mixing.rake(cells, dims, powers, mix.budget, 20)).max() > 1e-3  # not there after 20 rounds
+    rows = [(None if pd.isna(r.s) else r.s, None if pd.isna(r.l) else r.l, int(r.t), int(r.tokens)) for r in cells.itertuples()]
+    got = {(r.s, r.l, r.t): r.rate for r in mixing.rake_frames(spark.createDataFrame(rows, "s string, l string, t int, tokens long"), dims, powers, mix.budget, mix.rounds).collect()}
+    assert len(got) == len(rows) and all(abs(got[r[:3]] - w) < 1e-6 for r, w in zip(rows, want, strict=True))
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     import corpus_pipeline
 
