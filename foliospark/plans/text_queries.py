@@ -221,6 +221,13 @@ def benchmark_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(nxt, "item_id").select("item_id", F.round(similarity(F.col("t"), F.col("u")), 9).alias("sim"))
 
 
+@query("q_benchmark_similarity_whole")  # no SQL: DuckDB's distance counts bytes
+def benchmark_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("u"))
+    return b.join(nxt, "item_id").select("item_id", F.round(similarity(F.col("text"), F.col("u")), 9).alias("sim"))
+
+
 @cases(
     "q_digit_stats", "id int, p string, t string", [(1, "5 5", "5"), (2, "132,701,932.32", "132,704,932.32"), (3, "no", "no"), (4, "1 2 3", "3 2 4")],
     {"id": "INTEGER", "digit_f1": "DOUBLE", "digit_precision": "DOUBLE", "digit_recall": "DOUBLE", "digit_n_truth": "INTEGER", "digit_n_pred": "INTEGER"},
