@@ -100,12 +100,8 @@ def find_sections(blocks: DataFrame, name: str, by: str = "doc_id") -> DataFrame
 
 
 def section_text(blocks: DataFrame, name: str, by: str = "doc_id") -> DataFrame:
-    """The sections that a name means, as Markdown; above MOST_SECTIONS only a list of them."""
+    """All sections that a name means, as Markdown."""
     found = find_sections(blocks, name, by)
-    n = found.limit(MOST_SECTIONS + 1).count()
-    if n > MOST_SECTIONS:
-        listed = found.orderBy(by, "ord").limit(LISTED_SECTIONS)
-        return listed.select(by, "title", "page", F.col("page").alias("last_page"), "tokens", F.lit(None).cast("string").alias("markdown"))
     f, b = found.alias("f"), blocks.alias("b")
     inside = f.join(b, (F.col(f"f.{by}") == F.col(f"b.{by}")) & (F.col("b.ord") >= F.col("f.ord")) & (F.col("b.ord") < F.col("f.section_end")))
     piece = F.when(F.col("b.kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least(F.col("b.level"), F.lit(6))), F.lit(" "), F.col("b.text"))).otherwise(F.col("b.text"))
@@ -115,6 +111,15 @@ def section_text(blocks: DataFrame, name: str, by: str = "doc_id") -> DataFrame:
     return out.select(by, "title", "page", "last_page", "tokens", "markdown")
 
 
+def section_lookup(blocks: DataFrame, name: str, by: str = "doc_id") -> DataFrame:
+    """``section_text`` as a reader asks for it; above MOST_SECTIONS only a list of them."""
+    found = find_sections(blocks, name, by)
+    if found.limit(MOST_SECTIONS + 1).count() <= MOST_SECTIONS:
+        return section_text(blocks, name, by)
+    listed = found.orderBy(by, "ord").limit(LISTED_SECTIONS)
+    return listed.select(by, "title", "page", F.col("page").alias("last_page"), "tokens", F.lit(None).cast("string").alias("markdown"))
+
+
 def search(blocks: DataFrame, query: str, limit: int = 10, by: str = "doc_id", order: str | None = None) -> DataFrame:
     """Blocks that hold every term, best first: score is the sum of occurrences.
 

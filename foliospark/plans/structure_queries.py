@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.operators.blocks import flatten, grid_markdown, line_blocks, outline, search, section_text, with_path, with_sections
+from foliospark.operators.blocks import flatten, grid_markdown, line_blocks, outline, search, section_lookup, section_text, with_path, with_sections
 from foliospark.operators.chunks import chunk
 from foliospark.operators.qa import needs_ocr, page_qa, page_stats, text_density
 from foliospark.operators.render import cells_to_grid, csv_lines, json_trees, merged, merged_parts, page_fallback, render_html, render_markdown, render_text, table_cells
@@ -86,6 +86,11 @@ def q_section_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_text(conversation_blocks(spark, sf_dir), "the")
 
 
+@query("q_section_lookup")
+def q_section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_lookup(conversation_blocks(spark, sf_dir), "the")
+
+
 @query(
     "q_search_topk",
     """

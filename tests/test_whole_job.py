@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foliospark.plans import catalog
+from foliospark.plans.registry import conversation_blocks
 
 
 def _distance(a: str, b: str) -> int:
@@ -20,3 +21,22 @@ def test_benchmark_similarity_sees_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.item_id: r.sim for r in catalog.QUERIES["q_benchmark_similarity_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: round(1 - _distance(a, b) / max(len(a), len(b)), 9) for i, (a, b) in enumerate(zip(texts, texts[1:], strict=False))}
+
+
+def test_section_text_has_every_section(spark, sf_dir):
+    rows = sorted((r.doc_id, r.ord, r.kind, r.level, r.page, r.text) for r in conversation_blocks(spark, sf_dir).collect())
+    want = []
+    for d in {r[0] for r in rows}:
+        of = [r for r in rows if r[0] == d]
+        low = [r[5].lower().strip() if r[2] == "heading" else "" for r in of]
+        exact = "the" in low
+        for i, r in enumerate(of):
+            if "the" not in low[i] or exact and low[i] != "the":
+                continue
+            end = next((j for j in range(i + 1, len(of)) if of[j][2] == "heading" and of[j][3] <= r[3]), len(of))
+            text = "\n\n".join("#" * x[3] + " " + x[5] if x[2] == "heading" else x[5] for x in of[i:end])
+            want.append((d, r[5], min(x[4] for x in of[i:end]), max(x[4] for x in of[i:end]), text))
+    got = [(r.doc_id, r.title, r.page, r.last_page, r.markdown) for r in catalog.QUERIES["q_section_text"](spark, sf_dir).collect()]
+    assert len(want) > 20 and sorted(got) == sorted(want)
+    listed = catalog.QUERIES["q_section_lookup"](spark, sf_dir).collect()
+    assert len(listed) == 20 and all(r.markdown is None for r in listed)
