@@ -91,32 +91,35 @@ def _emit_pieces(path: str, length: int, end: int):
 
 
 def patterns(have: np.ndarray, length: int) -> list[Pattern]:
-    """Fills of a whole sequence by up to three pieces of lengths that occur."""
+    """All fills of a whole sequence by up to three pieces of lengths that occur."""
     there = np.flatnonzero(have)
     out: list[Pattern] = [(length,)] if have[length] else []
     out += [(int(length - a), int(a)) for a in there if 2 * a <= length and a and have[length - a]]
-    step = max(1, length // 32)
-    for a in there[there > 0]:
-        for b in range(int(a), (length - int(a)) // 2 + 1, step):
-            c = length - int(a) - b
-            if b <= c and have[b] and have[c]:
-                out.append((c, b, int(a)))
+    for a in there[there > 0].tolist():
+        b = np.arange(a, (length - a) // 2 + 1)
+        b = b[(have[b] > 0) & (have[length - a - b] > 0)]
+        out += [(length - a - x, x, a) for x in b.tolist()]
     return out
 
 
 def fit(found: list[Pattern], have: np.ndarray, sweeps: int = 60) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |A x - have|, by cyclic coordinate descent."""
-    left, x = have.astype(float).tolist(), [0.0] * len(found)
+    none = len(have)  # stands for the pieces that shorter patterns lack
+    left, x = [*have.astype(float).tolist(), 0.0], [0.0] * len(found)
     cost = [sum(p.count(a) ** 2 for a in set(p)) for p in found]
+    three = [(*p, none, none)[:3] for p in found]
     for _ in range(sweeps):
         moved = 0.0
-        for k, p in enumerate(found):
-            step = sum(left[a] for a in p) / cost[k]
-            new = max(0.0, x[k] + step)
+        for k, (a, b, c) in enumerate(three):
+            new = x[k] + (left[a] + left[b] + left[c]) / cost[k]
+            if new < 0.0:
+                new = 0.0
             if (d := new - x[k]) != 0.0:
                 x[k] = new
-                for a in p:
-                    left[a] -= d
+                left[a] -= d
+                left[b] -= d
+                left[c] -= d
+                left[none] = 0.0
                 moved = max(moved, abs(d))
         if moved < 0.25:
             break
@@ -126,16 +129,21 @@ def fit(found: list[Pattern], have: np.ndarray, sweeps: int = 60) -> np.ndarray:
 def plan(have: np.ndarray, length: int) -> list[tuple[Pattern, int]]:
     """(pattern, repeats) that use up the histogram exactly: the shortest of a few.
 
-    They differ in the part of the fitted repeats that is taken before the rest is packed
-    best-fit, and in whether the rest looks for exact fills of several pieces first.
+    They differ in the patterns that are fitted (all, or for short histograms, whose repeats
+    would be spread below one, a thinned set as well), in the part of the fitted repeats
+    that is taken before the rest is packed best-fit, and in whether the rest looks for
+    exact fills of several pieces first, and among how many of its largest pieces.
     """
     found = patterns(have, length)
-    repeats = fit(found, have)
-    tried = [_packed(have, length, found, np.floor(part * repeats + 1e-9), exact) for part in (1.0, 0.95, 0.8, 0.5) for exact in (False, True)]
+    thin = [p for p in found if len(p) < 3 or (p[1] - p[2]) % max(1, length // 32) == 0]
+    tried = []
+    for some in (found, thin):
+        repeats = fit(some, have)
+        tried += [_packed(have, length, some, np.floor(part * repeats + 1e-9), exact) for part in (1.0, 0.95, 0.8, 0.5) for exact in (0, 24, length)]
     return min(tried, key=lambda x: sum(n for _, n in x))
 
 
-def _packed(have: np.ndarray, length: int, found: list[Pattern], repeats: np.ndarray, exact: bool) -> list[tuple[Pattern, int]]:
+def _packed(have: np.ndarray, length: int, found: list[Pattern], repeats: np.ndarray, exact: int) -> list[tuple[Pattern, int]]:
     left = have.astype(np.int64).copy()
     out: list[tuple[Pattern, int]] = []
 
@@ -146,7 +154,7 @@ def _packed(have: np.ndarray, length: int, found: list[Pattern], repeats: np.nda
             for a in p:
                 left[a] -= n
 
-    for k in np.argsort(-repeats, kind="stable"):
+    for k in np.argsort(-repeats, kind="stable")[: np.count_nonzero(repeats)]:
         use(found[k], int(repeats[k]))
     while (there := np.flatnonzero(left)).size:
         p, gap = [int(there[-1])], length - int(there[-1])
@@ -161,8 +169,8 @@ def _packed(have: np.ndarray, length: int, found: list[Pattern], repeats: np.nda
     return out
 
 
-def _filler(spare: np.ndarray, gap: int, exact: bool) -> list[int]:
-    """Pieces that fill the gap exactly, at most three if asked; else the largest that fits."""
+def _filler(spare: np.ndarray, gap: int, exact: int) -> list[int]:
+    """Pieces that fill the gap exactly, at most three if asked (the first among the ``exact`` largest); else the largest that fits."""
 
     def pair(g: int) -> list[int]:
         a = np.arange(1, g // 2 + 1)
@@ -174,8 +182,12 @@ def _filler(spare: np.ndarray, gap: int, exact: bool) -> list[int]:
     fits = np.flatnonzero(spare[:gap])
     if exact and (both := pair(gap)):
         return both
-    for c in fits[::-1][: 24 * exact].tolist():
-        if gap - c > 1:
+    if exact:
+        there = np.minimum(spare[: gap + 1], 1).astype(float)
+        there[0] = 0
+        two = np.convolve(there, there)  # which gaps two lengths that occur could fill
+        first = fits[::-1][:exact]
+        for c in first[two[gap - first] > 0].tolist():
             spare[c] -= 1
             rest = pair(gap - c)
             spare[c] += 1

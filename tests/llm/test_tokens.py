@@ -96,3 +96,18 @@ def test_plans_use_up_the_histogram():
     sequences = sum(k for _, k in packing.plan(have, 1024))
     least = max(-(-int((have * np.arange(1025)).sum()) // 1024), int(have[513:].sum()))
     assert sequences <= 1.01 * least + 2
+
+
+def test_every_three_length_pattern_is_fitted():
+    length, rng = 1024, np.random.default_rng(0)
+    have = np.zeros(length + 1, np.int64)
+    for _ in range(60):
+        a = int(rng.integers(150, 341))
+        b, n = int(rng.integers(a, (length - a) // 2 + 1)), int(rng.integers(1, 101))
+        for x in (a, b, length - a - b):
+            have[x] += n
+    there = np.flatnonzero(have).tolist()
+    want = {(length - a - b, b, a) for a in there for b in there if a <= b <= length - a - b and have[length - a - b]}
+    assert {p for p in packing.patterns(have, length) if len(p) == 3} == want
+    least = -(-int((have * np.arange(length + 1)).sum()) // length)
+    assert sum(n for _, n in packing.plan(have, length)) <= least + 10
