@@ -296,10 +296,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id.
 
-    Rows with a null id stay; of rows that repeat an id one stays.
+    Rows with a null id stay. Where ids repeat, rows with the same id and text are one
+    document; others are documents of their own, which go only for links of their texts.
     """
-    found = jaccard_components(docs, id_col, text_col, n, percent)
-    gone = found.where("id is not null and component_id < id").select(F.col("id").alias("k_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("k_gone"), "left_anti")
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    if docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long")).count().where("count > 1").isEmpty():
+        found = jaccard_components(docs, id_col, text_col, n, percent)
+        gone = found.where("id is not null and component_id < id").select(F.col("id").alias("k_gone"))
+        return docs.join(gone, F.col(id_col).cast("long") == F.col("k_gone"), "left_anti")
+    keyed = docs.withColumns({"k_id": F.col(id_col).cast("long"), "k_text": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
+    named = keyed.where("k_id is not null").dropDuplicates(["k_id", "k_text"])
+    nodes = written(named.select("k_id", "k_text").withColumn("k_node", F.monotonically_increasing_id()), "nodes")
+    found = jaccard_components(named.join(nodes, ["k_id", "k_text"]), "k_node", text_col, n, percent)
+    first = found.join(nodes, F.col("id") == F.col("k_node")).groupBy("component_id").agg(F.min(F.struct("k_id", "k_text")).alias("k")).select("k.*")
+    return named.join(first, ["k_id", "k_text"], "left_semi").select(*docs.columns).unionByName(docs.where(F.col(id_col).cast("long").isNull()))

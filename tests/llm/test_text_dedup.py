@@ -99,3 +99,13 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (100, 101), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99, 101: 99}
+
+
+def test_rows_that_share_only_the_id_stay(spark):
+    r = random.Random(4)
+    a, b, c, d = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    rows = [(3, a), (5, a + " end"), (5, b), (7, c), (7, c), (7, c + " end"), (8, d), (9, b + " end"), (None, a), (1, None), (1, "")]
+    got = _got(ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert [i for i, _ in got].count(1) == 1 and [i for i, _ in got].count(7) == 1
+    assert sorted((i, x) for i, x in got if i not in (None, 1, 7)) == sorted([(3, a), (5, b), (8, d)])
+    assert (None, a) in got and len(got) == 6
