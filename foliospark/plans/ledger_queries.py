@@ -35,9 +35,14 @@ def q_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remaining(files(spark, sf_dir), ledger(spark, sf_dir), "sig").select("path")
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return files(spark, sf_dir).where(k % 2 == 0).withColumns({"ok": k % 13 != 0, "skipped": k % 10 == 0, "degraded": k % 6 == 0, "needs_ocr": k % 6 == 0, "used_ocr": k % 12 == 0, "duration": (k % 100) / 10, "error": F.when(k % 13 == 0, "broken"), "note": F.lit(None).cast("string")})
+    return files(spark, sf_dir).withColumns({"ok": k % 13 != 0, "skipped": k % 10 == 0, "degraded": k % 6 == 0, "needs_ocr": k % 6 == 0, "used_ocr": k % 12 == 0, "duration": (k % 100) / 10, "error": F.when(k % 13 == 0, "broken"), "note": F.lit(None).cast("string")})
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of half of the files; the others are without."""
+    return all_results(spark, sf_dir).where(F.col("o_orderkey") % 2 == 0)
 
 
 @query(
@@ -76,6 +81,28 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_rows(results(spark, sf_dir)).select("path", "status", "note")
 
 
+@query(
+    "q_batch_summary_all",
+    """
+    SELECT count(*) AS total, count(*) FILTER (WHERE k % 13 <> 0 AND k % 10 <> 0) AS succeeded, count(*) FILTER (WHERE k % 13 = 0) AS failed, count(*) FILTER (WHERE k % 10 = 0) AS skipped,
+           count(*) FILTER (WHERE k % 6 = 0) AS degraded, round(sum(CAST(k % 100 AS DOUBLE) / 10), 3) AS elapsed FROM (SELECT o_orderkey AS k FROM orders)
+    """,
+)
+def q_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_summary(all_results(spark, sf_dir)).withColumn("elapsed", F.round("elapsed", 3))
+
+
+@query(
+    "q_report_rows_all",
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 10 = 0 THEN 'skipped' WHEN o_orderkey % 13 <> 0 AND o_orderkey % 6 = 0 THEN 'degraded' WHEN o_orderkey % 13 <> 0 THEN 'ok' ELSE 'fail' END AS status,
+           CASE WHEN o_orderkey % 13 = 0 THEN 'broken' END AS note FROM orders
+    """,
+)
+def q_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_rows(all_results(spark, sf_dir)).select("path", "status", "note")
+
+
 @query("q_degraded_notes", "SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 11 = 0 THEN 'needs text recognition' END AS note FROM orders")
 def q_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return degraded_notes(files(spark, sf_dir), ledger(spark, sf_dir)).select("path", "note")

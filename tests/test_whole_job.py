@@ -40,3 +40,8 @@ def test_section_text_has_every_section(spark, sf_dir):
     assert len(want) > 20 and sorted(got) == sorted(want)
     listed = catalog.QUERIES["q_section_lookup"](spark, sf_dir).collect()
     assert len(listed) == 20 and all(r.markdown is None for r in listed)
+
+
+def test_report_and_summary_have_all_results(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert catalog.QUERIES["q_report_rows_all"](spark, sf_dir).count() == n and catalog.QUERIES["q_batch_summary_all"](spark, sf_dir).head().total == n
