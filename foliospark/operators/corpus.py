@@ -46,8 +46,15 @@ def deduped_inputs(rows: DataFrame, key: str = "path", order: str = "ord") -> Da
     return rows.groupBy(key).agg(F.min(order).alias(order))
 
 
-def round_robin(rows: DataFrame, *by: str, budget: int, key: str = "id", seed: int = 0) -> DataFrame:
-    """``budget`` rows taken in turn from the strata, each in the order of a hash of its key."""
+def round_robin(rows: DataFrame, *by: str, budget: int, key: str = "id", seed: int = 0, chosen: DataFrame | None = None) -> DataFrame:
+    """``budget`` rows taken in turn from the strata, each in the order of a hash of its key.
+
+    Rows already ``chosen`` (their keys) count against the budget and are not taken again.
+    """
+    if chosen is not None:
+        chosen = chosen.select(key).distinct()
+        budget = max(budget - rows.join(chosen, key, "left_semi").count(), 0)
+        rows = rows.join(chosen, key, "left_anti")
     w = Window.partitionBy(*by).orderBy("_h", key)
     picked = rows.withColumn("_h", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("round", F.row_number().over(w))
     return picked.orderBy("round", *by).limit(budget).drop("_h")

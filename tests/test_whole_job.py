@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from foliospark.operators.corpus import round_robin
 from foliospark.plans import catalog
 from foliospark.plans.registry import conversation_blocks
 
@@ -45,3 +46,12 @@ def test_section_text_has_every_section(spark, sf_dir):
 def test_report_and_summary_have_all_results(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     assert catalog.QUERIES["q_report_rows_all"](spark, sf_dir).count() == n and catalog.QUERIES["q_batch_summary_all"](spark, sf_dir).head().total == n
+
+
+def test_chosen_rows_count_against_the_budget(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "id int, format string")
+    first = {r.id for r in round_robin(rows, "format", budget=6).collect()}
+    chosen = spark.createDataFrame([(i,) for i in [*sorted(first)[:4], 99]], "id int")
+    more = {r.id for r in round_robin(rows, "format", budget=10, chosen=chosen).collect()}
+    assert len(more) == 6 and not more & set(sorted(first)[:4])
+    assert round_robin(rows, "format", budget=3, chosen=chosen).count() == 0
