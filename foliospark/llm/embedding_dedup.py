@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.kernels import ints
+from foliospark.llm.kernels import groups, ints
 from foliospark.llm.shared import components, written
 
 THRESHOLD = 0.95
@@ -70,39 +70,6 @@ def unit(column: pa.Array, kind=np.float64) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(kind)
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[pa.Table]:
-    """Runs of rows with equal key from sorted batches; cut at ``most`` rows."""
-    held: list[pa.RecordBatch] = []
-    at = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = ints(b.column(key))
-        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and at != k[a]:
-                yield from _blocks(held, most)
-                held = []
-            at = k[a]
-            held.append(b.slice(a, z - a))
-            if most and sum(x.num_rows for x in held) >= 2 * most:
-                yield from _blocks(held, most)
-                held = []
-    if held:
-        yield from _blocks(held, most)
-
-
-def _blocks(held: list[pa.RecordBatch], most: int | None) -> Iterator[pa.Table]:
-    t = pa.Table.from_batches(held)
-    n = t.num_rows
-    if not most or n <= most:
-        yield t
-        return
-    size = -(-n // -(-n // most))
-    for a in range(0, n, size):
-        yield t.slice(a, size)
-
-
 def _hash_planes(tables: int, bits: int, seed: int):
     """Rows for each table: the block key of the vector, its place in the block."""
 

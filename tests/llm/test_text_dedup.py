@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from foliospark.llm import bwt_dedup, ngram_join, substring
+from foliospark.llm import bwt_dedup, ngram_join, shared, substring
 from foliospark.llm.shared import components
 from tests.llm import brute
 
@@ -95,12 +95,76 @@ def test_one_of_each_group_stays(spark, docs, rows, none):
     assert [r.component_id for r in ngram_join.jaccard_components(odd).collect()].count(None) == 2
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("at_once", [1 << 20, 3])
+def test_components_of_long_chains(spark, monkeypatch, at_once):
+    if at_once == 3:  # tasks that put nothing together: the steps over all edges do it
+        monkeypatch.setattr(shared, "_contract", lambda batches: batches)
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (100, 101), (5, 5)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99, 101: 99}
 
 
+def _mixture(n: int, seed: int = 3):
+    """Texts of 20 of 40 shared passages: many frequent columns, no links."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    blocks = [" ".join(word() for _ in range(20)) for _ in range(40)]
+    return [(i, " ".join(r.sample(blocks, 20))) for i in range(n)]
+
+
+def test_jaccard_candidates_of_shared_passages_stay_few(spark, monkeypatch):
+    counts = []
+    whole = ngram_join.Product.cross_pairs
+
+    def counted(self, index):
+        out = whole(self, index)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join.Product, "cross_pairs", counted)
+    got = ngram_join.jaccard_components(spark.createDataFrame(_mixture(400), "doc_id long, text string").repartition(4)).collect()
+    assert all(r.component_id == r.id for r in got) and counts[0] < 0.1 * 400 * 399 / 2
+
+
+def test_jaccard_tiles_equal_brute_force(spark, monkeypatch):
+    """All columns count as hot, tiles are small, and no centre joins anything first."""
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    monkeypatch.setattr(ngram_join, "TILE", 3)
+    monkeypatch.setattr(ngram_join.Product, "star_pairs", lambda self, index, turn: spark.createDataFrame([], "a long, b long, na long, nb long"))
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(6):
+        base = [word() for _ in range(60)]
+        for k in range(7):
+            copy = list(base)
+            copy[r.randrange(60)] = word()
+            rows.append((10 * g + k, " ".join(copy[: r.randint(45, 60)])))
+    assert _got(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == sorted(brute.jaccard(rows), key=repr)
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 62, 4000, dtype=np.uint64)
+    a, b = np.unique(h[:3000]), np.unique(h[500:3100])
+    bits = ngram_join.bitmaps(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
+    assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    r = random.Random(4)
+    say = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c = say(), say(), say()
+    rows = [(3, a), (5, a + " end"), (5, b), (7, b + " x"), (8, c), (8, c), (None, a)]
+    got = {(x.id, x.n_shingles): x.component_id for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 56): 3, (5, 57): 3, (5, 56): 3, (7, 57): 3, (8, 56): 8, (None, 56): None}
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5, 6, "x"), (2, "a b c d e f", 7, 8, "y")], "doc_id long, text string, k_gone int, k_id int, id string")
+    assert [tuple(r) for r in ngram_join.one_of_each(df).collect()] == [(1, "a b c d e f", 5, 6, "x")]
+
+
 def test_rows_that_share_only_the_id_stay(spark):
     r = random.Random(4)
     a, b, c, d = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(4))
