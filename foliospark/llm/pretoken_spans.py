@@ -13,7 +13,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from foliospark.llm.kernels import U64, Texts, span_codes
+from foliospark.llm.kernels import U64, Texts, span_codes, spread
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Slots of a worker's table, and how many may be taken before it is thinned.
@@ -205,14 +205,6 @@ class Encodings:
         return slot
 
 
-def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Positions first[k] .. first[k] + size[k] - 1 for every k, end to end."""
-    size = size.astype(np.int64)
-    total = int(size.sum())
-    ends = np.cumsum(size)
-    return np.repeat(first - (ends - size), size) + np.arange(total)
-
-
 def ids_of(e: Encodings, t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end (uint32), and where each text's ids start.
 

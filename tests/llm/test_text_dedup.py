@@ -40,11 +40,12 @@ def test_bwt_empty_and_bytes_kept(none, docs):
 def test_merged_shards_give_the_order_of_all_suffixes():
     r = random.Random(5)
     strings = [bytes(r.choice(b"ab") for _ in range(r.randint(40, 90))) for _ in range(30)] + [b"ab" * 30, b"ab" * 30]
+    off = np.cumsum([0, *map(len, strings)])
     for shard in (50, 500, 1 << 20):
-        got = bwt_dedup.repeated_places(strings, np.ones(len(strings), np.int64), 20, 5, shard)
-        for s, at in zip(strings, got, strict=True):
+        got = bwt_dedup.repeated_places(strings, np.ones(off[-1], np.int64), 20, 5, shard)
+        for s, a, z in zip(strings, off[:-1], off[1:], strict=True):
             want = [j for j in range(len(s) - 19) if sum(t[k : k + 20] == s[j : j + 20] for t in strings for k in range(len(t) - 19)) > 1]
-            assert at.tolist() == want
+            assert np.flatnonzero(got[a:z]).tolist() == want
 
 
 def test_substring_equals_brute_force(docs, rows):
@@ -173,3 +174,27 @@ def test_rows_that_share_only_the_id_stay(spark):
     assert [i for i, _ in got].count(1) == 1 and [i for i, _ in got].count(7) == 1
     assert sorted((i, x) for i, x in got if i not in (None, 1, 7)) == sorted([(3, a), (5, b), (8, d)])
     assert (None, a) in got and len(got) == 6
+
+
+def test_bwt_large_groups_are_cut(spark, monkeypatch):
+    """A passage shorter than the length, with other surroundings each time."""
+    r = random.Random(2)
+    say = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    passage = say(180)
+    rows = [(i, say(150) + passage + say(150)) for i in range(40)]
+    rows += [(100, rows[3][1][100:] + say(20)), (101, rows[3][1][140:360]), (102, rows[7][1]), (103, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(brute.byte_repeats(rows, 200), key=repr)
+    monkeypatch.setattr(bwt_dedup, "GROUP", 5)
+    seen = []
+    whole = bwt_dedup._emit_contexts
+    monkeypatch.setattr(bwt_dedup, "_emit_contexts", lambda length, single=False: (seen.append(single), whole(length, single))[1])
+    assert _got(bwt_dedup.bwt_digest(df)) == want and True in seen
+
+
+def test_bwt_spans_all_come_from_the_transforms(spark, monkeypatch):
+    """Without the merge nothing is removed, exact copies included."""
+    df = spark.createDataFrame([(i, "passage " * 3 + " ".join(f"w{j}" for j in range(90))) for i in range(4)], "doc_id long, text string")
+    assert {r.n_removed for r in bwt_dedup.bwt_digest(df).collect()} != {0}
+    monkeypatch.setattr(bwt_dedup, "_merge", lambda length: lambda batches: iter(()))
+    assert {r.n_removed for r in bwt_dedup.bwt_digest(df).collect()} == {0}
