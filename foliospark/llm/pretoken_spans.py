@@ -7,6 +7,7 @@ and run boundaries over the UTF-8 bytes of many texts at once.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,8 +17,9 @@ from tokenizers import Tokenizer
 from foliospark.llm.kernels import U64, Texts, span_codes, spread
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-#: Slots of a worker's table, and how many may be taken before it is thinned.
-SLOTS, TAKEN = 1 << 21, 1 << 20
+#: Slots of a worker's table (a power of two); it is thinned when half of them are taken,
+#: and asked for the pieces of a quarter as many pre-tokens at a time.
+SLOTS = 1 << 21
 
 
 @lru_cache(maxsize=1)
@@ -109,7 +111,8 @@ def spans(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 class Encodings:
     """Ids of pre-tokens by their 64-bit code; each distinct one is encoded once.
 
-    Open addressing over SLOTS keys; at TAKEN entries those seen once go.
+    Open addressing over a fixed number of keys; when half are taken, those seen once go,
+    or all. As no more than a quarter are looked up at a time, there is always room.
     """
 
     def __init__(self, path: str):
@@ -126,13 +129,13 @@ class Encodings:
         self.clear()
 
     def clear(self) -> None:
+        self.slots_, self.most = SLOTS, SLOTS // 2
         self.key = np.zeros(SLOTS, U64)
         self.first, self.size, self.seen = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.uint8)
         self.pool, self.used, self.taken = np.zeros(1 << 20, np.uint32), 0, 0
 
-    @staticmethod
-    def _home(code: np.ndarray) -> np.ndarray:
-        return (code >> U64(20)).astype(np.int64) & (SLOTS - 1)
+    def _home(self, code: np.ndarray) -> np.ndarray:
+        return (code >> U64(20)).astype(np.int64) & (self.slots_ - 1)
 
     def find(self, code: np.ndarray) -> np.ndarray:
         """Slots of the codes; -1 where there is none."""
@@ -141,7 +144,7 @@ class Encodings:
         out = np.where(there == code, at, -1)
         live = np.flatnonzero((there != code) & (there != 0))
         while len(live):
-            at[live] = (at[live] + 1) & (SLOTS - 1)
+            at[live] = (at[live] + 1) & (self.slots_ - 1)
             there = self.key[at[live]]
             hit = there == code[live]
             out[live[hit]] = at[live[hit]]
@@ -156,12 +159,10 @@ class Encodings:
             won = live[free][which]
             self.key[spot], self.first[spot], self.size[spot], self.seen[spot] = code[won], first[won], size[won], seen[won]
             live = np.setdiff1d(live, won, assume_unique=True)
-            at[live] = np.where(self.key[at[live]] == 0, at[live], (at[live] + 1) & (SLOTS - 1))
+            at[live] = np.where(self.key[at[live]] == 0, at[live], (at[live] + 1) & (self.slots_ - 1))
         self.taken += len(code)
 
     def learn(self, code: np.ndarray, words: list[bytes]) -> None:
-        if self.taken + len(code) > TAKEN:
-            self._thin()
         ids = [[t.id for t in self.model.tokenize("".join(map(self.shown.__getitem__, w)))] for w in words]
         size = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
@@ -174,7 +175,7 @@ class Encodings:
 
     def _thin(self) -> None:
         keep = np.flatnonzero((self.key != 0) & (self.seen > 0))
-        if len(keep) > TAKEN // 2:
+        if len(keep) > self.most // 2:
             keep = keep[:0]
         code, first, size, pool = self.key[keep], self.first[keep], self.size[keep], self.pool
         self.clear()
@@ -184,26 +185,34 @@ class Encodings:
         self._put(code, np.cumsum(size, dtype=np.int64) - size, size, np.zeros(len(code), np.uint8))
 
     def slots(self, t: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The slot of each pre-token, after encoding those that are new."""
+        """The slot of each pre-token, after encoding those that are new; of at most a
+        quarter as many pre-tokens as there are slots."""
         code = span_codes(t.data, start, end)
         code[code == 0] = 1
         slot = self.find(code)
         miss = np.flatnonzero(slot < 0)
         if len(miss):
             new, which = np.unique(code[miss], return_index=True)
-            a, z = start[miss[which]].tolist(), end[miss[which]].tolist()
-            raw = t.data.tobytes()
-            if self.taken + len(new) > TAKEN:
+            if self.taken + len(new) > self.most:
                 self._thin()
                 slot = self.find(code)
                 miss = np.flatnonzero(slot < 0)
                 new, which = np.unique(code[miss], return_index=True)
-                a, z = start[miss[which]].tolist(), end[miss[which]].tolist()
-            self.learn(new, [raw[x:y] for x, y in zip(a, z, strict=True)])
+            a, z = start[miss[which]].tolist(), end[miss[which]].tolist()
+            view = memoryview(t.data)
+            self.learn(new, [bytes(view[x:y]) for x, y in zip(a, z, strict=True)])
             slot[miss] = self.find(code[miss])
         self.seen[slot] = np.minimum(self.seen[slot], 254) + 1
         return slot
 
+    def parts(self, t: Texts, start: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(from, to, slots) of stretches of the pre-tokens; the slots hold until the next."""
+        step = max(1, self.slots_ // 4)
+        end = np.append(start[1:], t.size)
+        for a in range(0, len(start), step):
+            z = min(a + step, len(start))
+            yield a, z, self.slots(t, start[a:z], end[a:z])
+
 
 def ids_of(e: Encodings, t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end (uint32), and where each text's ids start.
@@ -211,12 +220,13 @@ def ids_of(e: Encodings, t: Texts) -> tuple[np.ndarray, np.ndarray]:
     Added tokens whose string stands in a text count as one token there.
     """
     start, bound = spans(t)
-    end = np.append(start[1:], t.size)
-    slot = e.slots(t, start, end)
-    size = e.size[slot]
-    ids = e.pool[spread(e.first[slot], size)]
-    off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[bound]
-    return ids, off
+    ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for _, _, slot in e.parts(t, start):
+        size = e.size[slot]
+        ids.append(e.pool[spread(e.first[slot], size)])
+        sizes.append(size)
+    off = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])[bound]
+    return np.concatenate(ids), off
 
 
 @lru_cache(maxsize=2)

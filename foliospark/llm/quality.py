@@ -1,10 +1,11 @@
 """Quality rules: cross-document line frequency within hosts, and per-text base rules.
 
 Lines are normalised (A-Z lower-cased, white space collapsed) and hashed together with
-their host. For each, Spark counts the distinct documents of that host that have it;
-documents with the same whole text count once, so copies alone make no line frequent.
-Lines in more than ``max(least, share * documents of the host)`` documents are removed,
-and documents of which too little is left are rejected.
+their host. For each, Spark counts the distinct documents (by id; every row without one is
+its own) of that host that have it. Lines in more than ``max(least, share * documents of
+the host)`` documents are removed, and documents of which too little is left are rejected.
+With ``copies_once`` documents with the same whole text count once, so that copies alone
+make no line frequent; the pipeline, which looks for copies later, wants that.
 
 The table of removed lines has at most ``lines per document / share`` entries for each
 host. Where it is small (BROADCAST entries, checked) it goes to every task; beyond that
@@ -38,12 +39,14 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 @dataclass(frozen=True)
 class Limits:
     """A line is removed above ``least`` documents and ``share`` of its host's; a document
-    is rejected below ``words_left`` words or ``part_left`` of its words."""
+    is rejected below ``words_left`` words or ``part_left`` of its words. ``copies_once``
+    counts distinct texts instead of distinct documents."""
 
     least: int = 10
     share: float = 0.05
     words_left: int = 50
     part_left: float = 0.3
+    copies_once: bool = False
 
 
 def _lines(t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,9 +130,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 def frequent_lines(profile: DataFrame, limits: Limits) -> DataFrame:
     """(line, n_docs): the lines above their host's limit."""
-    hosts = profile.groupBy("k_host").agg(F.countDistinct("k_text").alias("host_docs"))
-    seen = profile.select("k_host", "k_text", F.explode(F.array_distinct("lines")).alias("line"))
-    each = seen.groupBy("line").agg(F.countDistinct("k_text").alias("n_docs"), F.min("k_host").alias("k_host")).where(F.col("n_docs") > limits.least)
+    one = F.col("k_text") if limits.copies_once else F.col("k_doc")
+    hosts = profile.groupBy("k_host").agg(F.countDistinct(one).alias("host_docs"))
+    seen = profile.select("k_host", one.alias("one"), F.explode(F.array_distinct("lines")).alias("line"))
+    each = seen.groupBy("line").agg(F.countDistinct("one").alias("n_docs"), F.min("k_host").alias("k_host")).where(F.col("n_docs") > limits.least)
     return written(each.join(hosts, "k_host").where(F.col("n_docs") > F.lit(limits.share) * F.col("host_docs")).select("line", "n_docs"), "frequent-lines")
 
 
@@ -138,7 +142,10 @@ class Rules:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits | None = None):
         self.limits, self.docs, self.cols = limits or Limits(), docs, (id_col, text_col, host_col)
-        self.profile = written(_keyed(docs, *self.cols).mapInArrow(_profile(), _PROFILE), "profile")
+        # rows without an id get one below all that they could share with another
+        alone = F.when(F.col("doc_id").isNull(), -1 - F.monotonically_increasing_id())
+        found = _keyed(docs, *self.cols).mapInArrow(_profile(), _PROFILE)
+        self.profile = written(found.withColumn("k_doc", F.struct(F.coalesce("doc_id", alone).alias("id"), F.col("doc_id").isNull().alias("none"))), "profile")
         self.lines = frequent_lines(self.profile, self.limits)
         self.small = self.lines.count() <= BROADCAST
 
@@ -150,7 +157,7 @@ class Rules:
         rows = self.profile.groupBy("k_host", "k_text").agg(F.count("*").alias("rows"))
         gone = each.join(lines.select("line"), "line").groupBy("k_host", "k_text").agg(F.sum("words").alias("words")).join(rows, ["k_host", "k_text"]).select("k_host", "k_text", (F.col("words") / F.col("rows")).cast("long").alias("n_removed_words"))
         lim = self.limits
-        out = self.profile.drop("lines", "line_words").join(written(gone, "gone"), ["k_host", "k_text"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+        out = self.profile.drop("lines", "line_words", "k_doc").join(written(gone, "gone"), ["k_host", "k_text"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
         left = F.col("n_words") - F.col("n_removed_words")
         out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         return out.withColumn("kept", ~F.col("base_failed") & (left >= lim.words_left) & (left >= F.lit(lim.part_left) * F.col("n_words")))

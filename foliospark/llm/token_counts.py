@@ -5,7 +5,7 @@ pre-tokens are counted in pieces once and joined in by their hash, and the produ
 summed by document. No token ids are built for documents. The join stays inside the
 task: the table of distinct pre-tokens grows with the corpus, so it is neither broadcast
 nor are the far more numerous (document, pre-token) rows shuffled; a worker keeps the
-pieces of at most ``pretoken_spans.TAKEN`` pre-tokens and asks the tokenizer again for
+pieces of a bounded number of pre-tokens (half of ``pretoken_spans.SLOTS``) and asks the tokenizer again for
 others.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); added tokens whose string
@@ -32,13 +32,25 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 
 
-def frequencies(e: Encodings, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, pre-token's slot, frequency) of a slice's texts, without zero rows."""
+def frequencies(e: Encodings, t: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, pieces of a pre-token, frequency) of a slice's texts, without zero rows,
+    for one stretch of pre-tokens after the other."""
     start, bound = spans(t)
-    slot = e.slots(t, start, np.append(start[1:], t.size))
-    doc = np.repeat(np.arange(t.n), np.diff(bound))
-    key, times = np.unique(doc * len(e.key) + slot, return_counts=True)
-    return key // len(e.key), key % len(e.key), times
+    for a, z, slot in e.parts(t, start):
+        doc = np.searchsorted(bound, np.arange(a, z), side="right") - 1
+        key, times = np.unique(doc * len(e.key) + slot, return_counts=True)
+        yield key // len(e.key), e.size[key % len(e.key)], times
+
+
+def counts(e: Encodings, column: pa.Array, path: str) -> np.ndarray:
+    """Tokens of each text of a column."""
+    n = np.zeros(len(column), np.int64)
+    for doc, size, times in frequencies(e, Texts(column)):
+        n += np.bincount(doc, times * size, len(column)).astype(np.int64)
+    for a in e.added:  # texts that hold an added token's string are cut there
+        for i in np.flatnonzero(np.asarray(pa.compute.match_substring(column, a).fill_null(False))):
+            n[i] = len(pieces(path).id_bytes(column[int(i)].as_py())) // 4
+    return n
 
 
 def _count(path: str, limit: int):
@@ -46,11 +58,7 @@ def _count(path: str, limit: int):
         e = encodings(path)
         for b in slices(batches, "k_body"):
             body = b.column("k_body")
-            doc, slot, times = frequencies(e, Texts(body))
-            n = np.bincount(doc, times * e.size[slot], b.num_rows).astype(np.int64)
-            for a in e.added:  # texts that hold an added token's string are cut there
-                for i in np.flatnonzero(np.asarray(pa.compute.match_substring(body, a).fill_null(False))):
-                    n[i] = len(pieces(path).id_bytes(body[int(i)].as_py())) // 4
+            n = counts(e, body, path)
             size = pa.compute.binary_length(body.cast(pa.binary())).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from foliospark.llm import mixing, quality
 from tests.llm import brute
@@ -14,11 +15,11 @@ from tests.llm import brute
 def _frequent(rows, limits):
     by = {}
     for r in rows:
-        by.setdefault(r[3], set()).add(r[1] or "")
+        by.setdefault(r[3], set()).add((0 if limits.copies_once else r[0], r[1] or ""))
     out = {}
-    for host, texts in by.items():
-        n = Counter(k for t in texts for k in {brute.line_key(x) for x in t.split("\n")} if k)
-        out[host] = {k for k, c in n.items() if c > max(limits.least, limits.share * len(texts))}
+    for host, docs in by.items():
+        n = Counter(k for _, t in docs for k in {brute.line_key(x) for x in t.split("\n")} if k)
+        out[host] = {k for k, c in n.items() if c > max(limits.least, limits.share * len(docs))}
     return out
 
 
@@ -32,8 +33,9 @@ def _verdicts(rows, limits):
     return want
 
 
-def test_rules_equal_brute_force(docs, rows):
-    limits = quality.Limits(least=3, share=0.05)
+@pytest.mark.parametrize("copies_once", [False, True])
+def test_rules_equal_brute_force(docs, rows, copies_once):
+    limits = quality.Limits(least=3, share=0.05, copies_once=copies_once)
     got = sorted(tuple(r) for r in quality.quality_rules(docs, limits).collect())
     want = sorted(_verdicts(rows, limits))
     assert got == want and any(w[-1] for w in want) and any(w[-2] for w in want)
@@ -54,10 +56,16 @@ def test_cleaned_documents_lose_frequent_lines(spark, docs, rows, none, monkeypa
     assert quality.Rules(none).cleaned().collect() == [] and quality.quality_rules(none).collect() == []
 
 
-def test_copies_alone_make_no_line_frequent(spark):
+def test_documents_are_counted_by_id_or_by_text(spark):
     text = "\n".join(" ".join(f"w{i}.{j}" for j in range(10)) for i in range(8))
-    df = spark.createDataFrame([(i, text, "en", "s", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert quality.quality_rules(df).where("kept and n_removed_words = 0").count() == 40
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(i, text, "en", "s", 1) for i in range(40)], kind)
+    assert quality.quality_rules(df).where("not kept and n_removed_words = 80").count() == 40
+    assert quality.quality_rules(df, quality.Limits(copies_once=True)).where("kept and n_removed_words = 0").count() == 40
+    same = spark.createDataFrame([(7, text, "en", "s", 1)] * 40, kind)  # one document
+    assert quality.quality_rules(same).where("kept").count() == 40
+    none = spark.createDataFrame([(None, text, "en", "s", 1)] * 40, kind)  # forty of them
+    assert quality.quality_rules(none).where("kept").count() == 0
 
 
 def test_raking_meets_bounded_marginals():
@@ -118,7 +126,7 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
             assert seen is None or ids <= seen
             seen = ids
             if name == "quality_rules":
-                assert ids == {v[0] for v in _verdicts(rows, quality.Limits()) if v[-2]}
+                assert ids == {v[0] for v in _verdicts(rows, quality.Limits(copies_once=True)) if v[-2]}
             if name == "near_duplicates":
                 left = [(r.doc_id, r.text) for r in df.collect()]
                 assert ids == {i for i, _, c in brute.jaccard(left) if i == c}

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from foliospark.llm import packing, pretoken_spans, pretokens
 from foliospark.llm.kernels import Texts
-from foliospark.llm.token_counts import token_counts
+from foliospark.llm.token_counts import counts, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["a <|endoftext|> b<|endoftext|>", "  x\n\n y  don't 'tis\t\t 12 ½  z ", "it's we'll I'd 've", "日本語 テキスト", "　 a  b", "😀😀 ë"]
@@ -44,15 +44,16 @@ def test_spans_equal_the_pattern():
 
 
 def test_a_full_table_is_thinned(monkeypatch):
-    monkeypatch.setattr(pretoken_spans, "TAKEN", 300)
+    monkeypatch.setattr(pretoken_spans, "SLOTS", 1024)
     e = pretoken_spans.Encodings(PATH)
     lib = Tokenizer.from_file(PATH)
     r = random.Random(1)
-    for _ in range(6):
-        texts = [" ".join("".join(r.choice("abcdef") for _ in range(4)) for _ in range(100)) for _ in range(2)]
+    for words in (100, 100, 100, 2000, 100, 5000):  # more distinct pre-tokens than slots, too
+        texts = [" ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(words)) for _ in range(2)] + ["", "ab ab ab"]
+        want = [lib.encode(x, add_special_tokens=False).ids for x in texts]
         ids, off = pretoken_spans.ids_of(e, Texts(pa.array(texts)))
-        for i, x in enumerate(texts):
-            assert ids[off[i] : off[i + 1]].tolist() == lib.encode(x, add_special_tokens=False).ids
+        assert [ids[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == want
+        assert counts(e, pa.array(texts), PATH).tolist() == list(map(len, want))
 
 
 def test_packing_is_gapless_and_whole(spark, rows, none):
