@@ -9,7 +9,9 @@ joins: the lists of a vector and those that list it meet in a block, and better
 neighbours are kept. Lists whose last entry is still at the threshold are saturated and
 enlarged. Edges at the threshold give components; further hyperplane passes look only
 for edges between different components, and recall is audited: every vector with an id
-divisible by AUDIT meets all others in blocks; a miss is added and the passes go on.
+divisible by AUDIT meets all others in blocks; a miss is added and the passes go on. What
+the first audit found is kept: ``audit_recall`` is the part of such a vector's links that
+the graph's components held by then.
 Inside each component all links are then counted exactly, block against block, with
 sums and spanning edges coming out but no list of pairs, so that no list length caps
 the number of links.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import groups, ints
-from foliospark.llm.shared import components, written
+from foliospark.llm.shared import components, done_with, written
 
 THRESHOLD = 0.95
 LIST, LIST_MOST = 8, 64
@@ -38,6 +40,8 @@ TABLES, BLOCK = 24, 96
 ROUNDS = 4
 AUDIT = 20
 EXACT = 512
+#: Vectors that are asked together in the audit, and vectors that they meet at once.
+ASKED, MET = 2048, 4096
 #: Graph sims are single precision; edges this far below the threshold are still looked at exactly.
 SLACK = 1e-4
 _KEEP = 0.6
@@ -145,6 +149,8 @@ class Graph:
         same = self.rows.groupBy("key").agg(F.min(F.struct("id", "vec")).alias("x"), F.countDistinct("id").alias("copies"))
         self.reps = written(same.select("key", F.col("x.id").alias("id"), F.col("x.vec").alias("vec"), "copies"), "distinct")
         self.n = self.reps.count()
+        self.graph: DataFrame | None = None
+        self.audited: DataFrame | None = None
         self.bits = int(np.clip(np.round(np.log2(max(self.n, 2) / 24)), 1, 30))
 
     def planes(self, seed: int, label: DataFrame | None = None) -> DataFrame:
@@ -174,37 +180,50 @@ class Graph:
             nxt = written(self.top(links.select("u", "v", "sim").union(found.select("u", "v", "sim")), size), "graph")
             mark = lambda g: g.select(F.explode("near").alias("x")).agg(F.count("*"), F.sum(F.col("x.sim").cast("double"))).head()
             was, now = pruned or mark(graph), mark(nxt)
+            done_with(graph)
             graph, pruned = nxt, now
             if now[0] <= was[0] * 1.001 and abs((now[1] or 0) - (was[1] or 0)) <= 0.001 * abs(was[1] or 1):
                 break
+        self.graph = graph
         edge = graph.select("u", F.explode("near").alias("x")).where(F.col("x.sim") >= self.threshold - SLACK)
         return edge.select(F.least("u", "x.v").alias("a"), F.greatest("u", "x.v").alias("b")).distinct()
 
     def audit(self, label: DataFrame) -> DataFrame:
-        """Links of the vectors with an id divisible by AUDIT that join different labels."""
-        rows = self.reps.select("id", "vec").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("list", F.lit(1))
-        asked = rows.where(F.col("id") % AUDIT == 0)
-        n = max(1, -(-self.n // (AUDIT * EXACT)))
+        """The vectors with an id divisible by AUDIT against all: (u, v, sim, links), rows
+        with v for links that join different labels, rows without for the numbers of links.
+
+        Of equal vectors one stands for all, whichever of them is asked.
+        """
+        rows = self.reps.select("id", "vec", "key").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        asked = rows.join(self.rows.where(F.col("id") % AUDIT == 0).select("key").distinct(), "key", "left_semi").drop("key")
+        n = max(1, -(-self.n // (AUDIT * ASKED)))
         asked = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("role", F.lit(0))
-        against = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("role", F.lit(1))
-        m = max(1, -(-self.n // 4096))
+        against = rows.drop("key").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("role", F.lit(1))
+        m = max(1, -(-self.n // MET))
         slot = lambda df, col: df.withColumn("k", (F.col("q") * m + F.col("s")).cast("long")).select("k", "role", "id", "label", "vec")
         left = slot(asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))), "s")
         right = slot(against.withColumn("s", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(m))), "s")
         both = left.unionByName(right)
-        return both.repartition(_parts(both), "k").sortWithinPartitions("k", "role").mapInArrow(_ask(self.threshold), _EDGE)
+        return both.repartition(_parts(both), "k").sortWithinPartitions("k", "role").mapInArrow(_ask(self.threshold), _EDGE + ", links long")
 
     def components(self) -> DataFrame:
         edges = written(self.descend(), "links")
-        found, seed = components(edges), 100
+        done_with(self.graph)
+        found, seed, label, more = components(edges), 100, None, None
         while True:
+            done_with(label)
             label = written(found.select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
             more = written(_met(self.planes(seed, label), self.threshold - SLACK).select(F.col("u").alias("a"), F.col("v").alias("b")), "cross")
             if more.isEmpty():
-                more = written(self.audit(label).select(F.col("u").alias("a"), F.col("v").alias("b")), "missed")
+                done_with(more)
+                audit = written(self.audit(label), "audit")
+                if self.audited is None:
+                    self.audited = audit.groupBy("u").agg(F.sum("links").alias("all"), F.count("v").alias("missed"))
+                more = audit.where("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b"))
                 if more.isEmpty():
+                    done_with(edges)
                     return label
-            edges = edges.unionByName(more)
+            edges = written(edges.unionByName(more), "links")
             found, seed = components(edges), seed + 1
 
     def exact(self, label: DataFrame) -> DataFrame:
@@ -231,9 +250,12 @@ def _ask(threshold: float):
                     continue
                 sims = unit(qq.column("vec")) @ unit(rr.column("vec")).T
                 lq, lr = (np.asarray(x.column("label"), dtype=np.int64) for x in (qq, rr))
-                i, j = np.nonzero((sims >= threshold) & (lq[:, None] != lr[None, :]))
-                ids = lambda x: np.asarray(x.column("id"), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids(qq)[i]), pa.array(ids(rr)[j]), pa.array(sims[i, j].astype(np.float32))], ["u", "v", "sim"])
+                a, b = (np.asarray(x.column("id"), dtype=np.int64) for x in (qq, rr))
+                hit = (sims >= threshold) & (a[:, None] != b[None, :])
+                i, j = np.nonzero(hit & (lq[:, None] != lr[None, :]))
+                none = pa.nulls(len(a))
+                yield pa.RecordBatch.from_arrays([pa.array(a), none.cast(pa.int64()), none.cast(pa.float32()), pa.array(hit.sum(axis=1))], ["u", "v", "sim", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(sims[i, j].astype(np.float32)), pa.array(np.zeros(len(i), np.int64))], ["u", "v", "sim", "links"])
 
     return run
 
@@ -279,15 +301,25 @@ def _count(threshold: float):
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of (vec_id, embedding)."""
+    """vec_id, n_links, component_id, kept and audit_recall of every row of (vec_id, embedding).
+
+    ``audit_recall`` is null for vectors that were not asked or have no links.
+    """
     body = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     g = Graph(body, threshold)
-    exact = written(g.exact(g.components()), "exact")
+    label = g.components()
+    exact = written(g.exact(label), "exact")
     final = components(exact.select(F.col("id").alias("a"), F.explode("to").alias("b")))
     links = exact.groupBy("id").agg(F.sum("links").alias("links"))
-    rep = g.reps.select("key", "id", "copies").join(links, "id", "left").join(final.withColumnRenamed("node", "id"), "id", "left")
-    rep = rep.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    per = written(g.rows.select("id", "key").join(rep, "key").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component")), "per-vector")
+    heard = g.audited.select(F.col("u").alias("id"), F.when(F.col("all") > 0, (F.col("all") - F.col("missed")) / F.col("all")).alias("recall"))
+    rep = g.reps.select("key", "id", "copies").join(links, "id", "left").join(final.withColumnRenamed("node", "id"), "id", "left").join(heard, "id", "left")
+    rep = rep.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"), "recall")
+    per = g.rows.select("id", "key").join(rep, "key").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"), F.min("recall").alias("recall"))
+    per = written(per, "per-vector")
+    done_with(g.rows, g.reps, label, exact)
     out = body.select("vec_id").join(per, body["vec_id"] == per["id"], "left")
     comp = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(True)).alias("kept"),
+        F.when(F.col("vec_id") % AUDIT == 0, F.col("recall")).alias("audit_recall"),
+    )

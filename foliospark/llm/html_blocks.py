@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 #: Elements by the part they play in the block structure.
@@ -26,19 +28,42 @@ _ENDS_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "main", "menu", "nav", "ol", "pre", "section", "table", "ul",
 }
-_SCOPE = {"ul": {"li"}, "ol": {"li"}, "menu": {"li"}, "dl": {"dt", "dd"}, "table": {"tr", "td", "th", "thead", "tbody"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Possessive throughout, so that no page is scanned twice: a tag ends at ``>``, before the
+#: next ``<`` or with the page, and a quote that is never closed is an ordinary character.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _SPACE = re.compile(r"\s+")
 _NAMED = re.compile(r"(?:\s|^)(?:class|id|role|hidden|style|aria-hidden)\b", re.I)
 
 
+class Path:
+    """The names from the page's root to an element, each shared by all below it."""
+
+    __slots__ = ("name", "up", "depth", "__weakref__")
+
+    def __init__(self, name: str, up: Path | None = None):
+        self.name, self.up, self.depth = name, up, 1 + (up.depth if up else 0)
+
+    def __iter__(self) -> Iterator[str]:
+        names, at = [], self
+        while at is not None:
+            names.append(at.name)
+            at = at.up
+        return reversed(names)
+
+    def __len__(self) -> int:
+        return self.depth
+
+    def __getitem__(self, i: int) -> str:
+        return list(self)[i]
+
+
 @dataclass
 class Block:
     """A leaf block: white space made single, names on the path, characters in links."""
 
     text: str
-    path: tuple[str, ...]
+    path: Path | None
     linked: int = 0
     hidden: bool = False
 
@@ -60,10 +85,11 @@ def _names(tag: str, attrs: str) -> tuple[str, bool]:
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in page order; those without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, Path, bool]] = []  # tag, path, whether it or one above is hidden
+    inner: list[int] = []  # where the elements of the stack that are not inline stand
+    open_: Counter[str] = Counter()
     text: list[tuple[str, bool]] = []
     page = page or ""
-    links = 0
 
     def flush() -> None:
         if not text:
@@ -71,50 +97,42 @@ def blocks(page: str | None) -> list[Block]:
         whole = _SPACE.sub(" ", "".join(x for x, _ in text)).strip()
         if whole:
             linked = sum(len(x.strip()) for x, in_link in text if in_link)
-            out.append(Block(whole, tuple(name for _, name, _ in stack), min(linked, len(whole)), any(h for _, _, h in stack)))
+            out.append(Block(whole, stack[-1][1] if stack else None, min(linked, len(whole)), bool(stack) and stack[-1][2]))
         text.clear()
 
     def close(tag: str) -> None:
         """End open elements down to the last ``tag``, if there is one."""
-        nonlocal links
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                links -= sum(1 for t, _, _ in stack[k:] if t == "a")
-                del stack[k:]
+        while open_[tag]:
+            t = stack.pop()[0]
+            open_[t] -= 1
+            if inner and inner[-1] == len(stack):
+                inner.pop()
+            if t == tag:
                 return
 
     def implied(tag: str) -> None:
         ends = CLOSES.get(tag) or ({"p"} if tag in _ENDS_P else set())
-        bound = next((outer for outer, inner in _SCOPE.items() if tag in inner), None)
-        for k in range(len(stack) - 1, -1, -1):
-            t = stack[k][0]
-            if t in ends:
-                close(t)
-                return implied(tag)
-            if t in INLINE:
-                continue
-            if t == bound or t not in ends:
-                return None
-        return None
+        while inner and (t := stack[inner[-1]][0]) in ends:
+            close(t)
 
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
-            text.append((html.unescape(page[at:]), links > 0))
+            text.append((html.unescape(page[at:]), open_["a"] > 0))
             break
         if m.start() > at:
-            text.append((html.unescape(page[at : m.start()]), links > 0))
+            text.append((html.unescape(page[at : m.start()]), open_["a"] > 0))
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
-                text.append((" ", links > 0))
+                text.append((" ", open_["a"] > 0))
             elif tag in INLINE:
                 close(tag)
-            elif any(t == tag for t, _, _ in stack):
+            elif open_[tag]:
                 flush()
                 close(tag)
             elif tag == "p":
@@ -122,7 +140,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in RAW:
             if tag != "title" and tag not in INLINE:
-                text.append((" ", links > 0))
+                text.append((" ", open_["a"] > 0))
             if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
@@ -131,13 +149,15 @@ def blocks(page: str | None) -> list[Block]:
             if tag == "hr":
                 flush()
             elif tag in ("br", "img", "input"):
-                text.append((" ", links > 0))
+                text.append((" ", open_["a"] > 0))
             continue
         if tag not in INLINE:
             flush()
             implied(tag)
         name, hidden = _names(tag, m[3])
-        stack.append((tag, name, hidden))
-        links += tag == "a"
+        if tag not in INLINE:
+            inner.append(len(stack))
+        stack.append((tag, Path(name, stack[-1][1] if stack else None), hidden or (bool(stack) and stack[-1][2])))
+        open_[tag] += 1
     flush()
     return out

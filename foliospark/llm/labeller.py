@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from foliospark.llm.html_blocks import Block
+from foliospark.llm.html_blocks import Block, Path
 from foliospark.llm.kernels import U64, Texts, Words
 
 PATH, LEAF, WORDS, FIGURES = 192, 48, 16, 8
@@ -36,22 +36,33 @@ def _name_dims(name: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
     return tuple(dims), (zlib.crc32(f"t:{tag}".encode()) % LEAF,)
 
 
+def _path_dims(path: Path, seen: dict[Path, np.ndarray]) -> np.ndarray:
+    """The dimensions of all names of a path; what an element shares with those below is kept."""
+    todo, at = [], path
+    while at is not None and at not in seen:
+        todo.append(at)
+        at = at.up
+    have = seen[at] if at is not None else np.zeros(PATH, bool)
+    for at in reversed(todo):
+        dims = _name_dims(at.name)[0]
+        if not have[list(dims)].all():
+            have = have.copy()
+            have[list(dims)] = True
+        seen[at] = have
+    return have
+
+
 def features(pages: list[list[Block]]) -> np.ndarray:
     """A row for each block of all pages, in order."""
     flat = [b for page in pages for b in page]
     out = np.zeros((len(flat), WIDTH), np.float32)
     if not flat:
         return out
-    rows, dims = [], []
+    seen: dict[Path, np.ndarray] = {}
     for i, b in enumerate(flat):
-        for name in b.path:
-            d = _name_dims(name)[0]
-            rows += [i] * len(d)
-            dims += d
-        if b.path:
-            rows.append(i)
-            dims.append(PATH + _name_dims(b.path[-1])[1][0])
-    out[rows, dims] = 1
+        if b.path is not None:
+            out[i, :PATH] = _path_dims(b.path, seen)
+            out[i, PATH + _name_dims(b.path.name)[1][0]] = 1
     t = Texts(pa.array([b.text for b in flat]))
     w = Words(t, lower=True)
     n = w.counts()
@@ -65,7 +76,7 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     f[:, 3] = [b.text[-1] in ".!?\"'…:;)" for b in flat]
     f[:, 4] = [b.hidden for b in flat]
     f[:, 5] = np.concatenate([np.arange(len(p)) / max(len(p), 1) for p in pages]) if pages else 0
-    f[:, 6] = [min(len(b.path), 12) / 12 for b in flat]
+    f[:, 6] = [min(len(b.path or ()), 12) / 12 for b in flat]
     f[:, 7] = 1
     return out
 

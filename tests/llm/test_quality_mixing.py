@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from foliospark.llm import mixing, quality
 from tests.llm import brute
@@ -81,19 +84,70 @@ def test_raking_meets_bounded_marginals():
         assert np.allclose(took.groupby(cells[d]).sum(), want, rtol=0.01)
 
 
-def test_sampling_follows_rates(spark, docs, none):
-    plan = mixing.mixing_plan(docs).collect()
-    assert len(plan) == docs.count() and {r.topic for r in plan} <= set(range(8))
+def test_raking_equals_plain_proportional_fitting():
+    """Given shares, far below the tokens there are: textbook fitting on a dense array."""
+    rng = np.random.default_rng(3)
+    mass = rng.integers(500, 5000, (3, 2, 4)).astype(float)
+    aims = [{"a": 0.5, "b": 0.2}, {"x": 0.4, "y": 0.6}, 0.0]
+    want = mass * 0.01
+    shares = [np.array([0.5, 0.2, 0.3]), np.array([0.4, 0.6]), np.full(4, 0.25)]
+    for _ in range(500):
+        for axis, share in enumerate(shares):
+            other = tuple(k for k in range(3) if k != axis)
+            scale = 0.01 * mass.sum() * share / want.sum(axis=other)
+            want = want * scale.reshape([-1 if k == axis else 1 for k in range(3)])
+    cells = pd.DataFrame([("abc"[i], "xy"[j], k, mass[i, j, k]) for i in range(3) for j in range(2) for k in range(4)], columns=["s", "l", "t", "tokens"])
+    rate = mixing.rake(cells, ["s", "l", "t"], aims, 0.01, 500)
+    assert np.allclose(rate * cells["tokens"], want.ravel(), rtol=1e-6)
+
+
+def test_given_shares_with_unknown_and_empty_categories():
+    mass, names = np.array([10.0, 30.0, 60.0, 0.0]), ["a", None, "c", "d"]
+    assert np.allclose(mixing.target_shares(mass, names, {"a": 0.4, "d": 0.5, "zz": 0.9}), [0.4, 0.2, 0.4, 0])
+    assert np.allclose(mixing.target_shares(mass, names, {None: 3, "a": 1, "c": 0}), [0.25, 0.75, 0, 0])
+    assert np.allclose(mixing.target_shares(np.zeros(2), ["a", "b"], {"a": 1}), [0, 0])
+
+
+def test_sampling_follows_rates(spark, docs, rows, none):
+    plan = {r.doc_id: r for r in mixing.mixing_plan(docs).collect()}
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {i: r.n_tokens for i, r in plan.items()} == {r[0]: len(lib.encode(r[1] or "", add_special_tokens=False).ids) for r in rows}
+    assert {r.topic for r in plan.values()} <= set(range(mixing.TOPICS)) and {r.sampled for r in plan.values()} == {True, False}
     picked = mixing.sampled(docs)
-    assert picked.columns == docs.columns and {r.doc_id for r in picked.collect()} == {r.doc_id for r in plan if r.sampled}
-    assert mixing.mixing_plan(none).collect() == []
+    assert picked.columns == docs.columns and {r.doc_id for r in picked.collect()} == {i for i, r in plan.items() if r.sampled}
+    again = {r.doc_id: (r.topic, r.rate) for r in mixing.mixing_plan(docs.repartition(7)).collect()}
+    assert again == {i: (r.topic, r.rate) for i, r in plan.items()}
+    assert mixing.mixing_plan(none).collect() == [] and mixing.sampled(none).collect() == []
+
+
+def test_topics_part_what_documents_are_about(spark):
+    """Two languages, four subjects each with words of its own: subjects stay together."""
+    r, rows = random.Random(1), []
+    word = lambda k: "".join(r.choice("abcdefghijklmn") for _ in range(k))
+    words = {(g, s): [word(8) for _ in range(25)] for g in ("en", "de") for s in range(4)}
+    for i in range(240):
+        g, s = ("en", "de")[i % 2], (i // 2) % 4
+        rows.append((i, " ".join(r.choice(words[g, s]) for _ in range(120)), g, "x", 0))
+    got = mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    by = Counter((r.lang, (r.doc_id // 2) % 4, r.topic) for r in got)
+    most = sum(max(n for (g, s, _), n in by.items() if (g, s) == key) for key in words)
+    assert most >= 0.95 * len(got) and len({r.topic for r in got}) >= 4
+
+
+def test_sampling_with_nulls_repeats_and_clashing_columns(spark):
+    kind = "doc_id long, text string, lang string, source string, k_source string, k_rate double, r_lang string, k_tokens int"
+    rows = [(i if i % 3 else None, None if i % 4 == 0 else f"some longer words number{i}", "en", None if i % 5 else "s", "kept", 7.5, "r", i) for i in range(40)] + [(1, "twice", "en", "s", "kept", 7.5, "r", 1)] * 2
+    df = spark.createDataFrame(rows, kind)
+    out = mixing.sampled(df, mixing.Mix(source={"s": 0.5}, budget=0.6))
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == df.columns and got and set(got) <= set(rows) and got.count(rows[-1]) in (0, 2)
 
 
 def test_raking_as_frames_equals_the_driver(spark, docs):
-    mix = mixing.Mix(rounds=15)
-    one = {r.doc_id: r.k_rate for r in mixing.mixed(docs, mix=mix).collect()}
-    two = {r.doc_id: r.k_rate for r in mixing.mixed(docs, mix=mix, cells_limit=0).collect()}
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 0.05 for k in one)
+    for mix in (mixing.Mix(rounds=3), mixing.Mix(source={"src0": 0.3, None: 0.3}, topic={0: 0.5}, rounds=2)):
+        one = {r.doc_id: r.rate for r in mixing.mixing_plan(docs, mix).collect()}
+        two = {r.doc_id: r.rate for r in mixing.mixing_plan(docs, mix, cells_limit=0).collect()}
+        assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-6 for k in one)
 
 
 def test_raking_as_frames_runs_until_it_settles(spark):

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import pytest
 
 from foliospark.llm import html_extract, train_labeller, warc
 from foliospark.llm.html_blocks import blocks
+from foliospark.llm.html_extract import extract, main_texts
 from foliospark.llm.labeller import trained
 
 
@@ -104,3 +106,23 @@ def test_extraction_on_the_tables(spark, sf_dir):
     assert got == {k: (v, len(v)) for k, v in want.items()}
     odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<script>x</script>")], "page_id long, url string, html string")
     assert {tuple(r) for r in html_extract.extract(odd).collect()} == {(1, "u", "", 0), (2, None, "", 0), (None, "u", "", 0)}
+
+
+def test_unclosed_quotes_and_deep_nesting_take_linear_time():
+    began = time.process_time()
+    assert len(blocks("<a " * 300_000 + '"')) <= 1
+    assert [b.text for b in blocks("<p class='x>one</p><p>two")] == ["one", "two"]
+    deep = blocks("".join(f"<div>{i % 10}" for i in range(50_000)))
+    assert len(deep) == 50_000 and len(deep[-1].path) == 50_000
+    assert len(blocks("<b>" * 50_000 + "<p>x" * 20_000)) == 20_000
+    main_texts(["".join(f"<div>{i % 10}" for i in range(3_000))])
+    assert time.process_time() - began < 30
+
+
+def test_extraction_of_repeated_rows_and_empty_tables(spark):
+    page = "<html><body><nav><a href=/>home</a></nav><article><p>A long enough sentence of the article, as it should be.</p></article></body></html>"
+    kind = "page_id long, url string, html string, text string"
+    rows = [(1, "u", page, "kept out"), (1, "u", page, "kept out"), (2, None, None, None), (None, "v", "", None)]
+    got = [tuple(r) for r in extract(spark.createDataFrame(rows, kind)).collect()]
+    assert len(got) == 4 and got.count(next(r for r in got if r[0] == 1)) == 2 and {r[3] for r in got if r[0] != 1} == {0}
+    assert extract(spark.createDataFrame([], kind)).collect() == []
