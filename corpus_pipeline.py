@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.mixing import sampled
 from foliospark.llm.ngram_join import one_of_each
 from foliospark.llm.packing import pack
-from foliospark.llm.quality import Rules
+from foliospark.llm.quality import Limits, Rules
 from foliospark.llm.shared import bounded_batches, shared_dir
 from foliospark.llm.substring import SENT, remove_repeats
 
@@ -24,9 +24,12 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without lines too frequent in their host."""
+    """Documents that the rules keep, without lines too frequent in their host.
+
+    Copies count once here: the next stage keeps one document of each group of them.
+    """
     bounded_batches(spark)
-    return Rules(docs).cleaned()
+    return Rules(docs, limits=Limits(copies_once=True)).cleaned()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
