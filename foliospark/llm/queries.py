@@ -76,3 +76,54 @@ ORACLES["op4_warc_round_trip"] = """
            CASE WHEN n >= 1000 AND page_id < first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
     FROM p JOIN f ON p.d = f.d
 """
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op3_substring_dedup"] = f"""
+    WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+    x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+    k AS (SELECT doc_id, pos, md5(string_agg(word, ' ') OVER f) AS h, count(*) OVER f AS n FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+    first AS (SELECT h, min(doc_id) AS lo FROM k WHERE n = 50 GROUP BY h),
+    g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM k JOIN first USING (h) WHERE n = 50 AND lo < doc_id),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM x ANTI JOIN g USING (doc_id, pos) GROUP BY doc_id),
+    gone AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+    FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id
+"""
+
+ORACLES["op6_quality_rules"] = rf"""
+    WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+    x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+    tri AS (SELECT doc_id, pos, word || ' ' || lead(word) OVER f || ' ' || lead(word, 2) OVER f AS k FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY pos)),
+    twice AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, k) AS n FROM tri WHERE k IS NOT NULL) WHERE n > 1),
+    rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM twice) GROUP BY doc_id),
+    line AS (SELECT doc_id, source, l, regexp_extract_all({_LOWER.format('l')}, '[^\x20\x09-\x0D]+') AS ls FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM w)),
+    worded AS (SELECT doc_id, source, l, array_to_string(ls, ' ') AS k, len(ls) AS n FROM line WHERE len(ls) > 0),
+    dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM worded GROUP BY doc_id),
+    host AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source),
+    often AS (SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM worded GROUP BY source, k) c JOIN host h ON h.source IS NOT DISTINCT FROM c.source WHERE c.n > 10 AND c.n > CAST(0.05 AS DOUBLE) * h.n),
+    gone AS (SELECT doc_id, sum(d.n) AS n FROM worded d JOIN often o ON o.k = d.k AND o.source IS NOT DISTINCT FROM d.source GROUP BY doc_id),
+    f AS (
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+               CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
+        FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND n_words - n_removed_words >= 50 AND n_words - n_removed_words >= CAST(0.3 AS DOUBLE) * n_words AS kept, n_removed_words
+    FROM b
+"""
+
+ORACLES["op7_ngram_jaccard"] = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+    x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+    k AS (SELECT doc_id, string_agg(word, ' ') OVER f AS k, count(*) OVER f AS n FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+    s AS (SELECT DISTINCT doc_id, k FROM k WHERE n = 5 UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+    size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+    reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+    low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT w.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(low.b, w.doc_id)) AS component_id
+    FROM w LEFT JOIN size ON size.doc_id = w.doc_id LEFT JOIN low ON low.a = w.doc_id
+"""
