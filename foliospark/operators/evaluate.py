@@ -94,14 +94,13 @@ def summarise(results: DataFrame, *by: str) -> DataFrame:
 
 
 def grouped_report(results: DataFrame, dims: tuple[str, ...] = ("format", "lang", "domain", "truth_type")) -> DataFrame:
-    """One row for each engine, and for each engine and value of a dimension, in one pass."""
+    """One row for each engine, and for each engine and value of a dimension (null is one), in one pass."""
     sets = [["engine"], *(["engine", d] for d in dims)]
     cols = ["engine", *dims]
-    named = F.coalesce(*[F.when(F.col(d).isNotNull(), F.lit(d)) for d in dims], F.lit("all"))
+    named = F.coalesce(*[F.when(F.grouping(d) == 0, F.lit(d)) for d in dims], F.lit("all"))
     done = F.col("status").isin(*DONE)
     g = results.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols])
-    out = g.agg(F.count("*").alias("n"), F.count_if(done).alias("n_done"), *[F.avg(F.when(done, F.col(c))).alias(c) for c in QUALITY if c in results.columns], F.percentile("wall_s", F.lit(0.5)).alias("median_s"))
-    return out.withColumn("dimension", named)
+    return g.agg(F.count("*").alias("n"), F.count_if(done).alias("n_done"), *[F.avg(F.when(done, F.col(c))).alias(c) for c in QUALITY if c in results.columns], F.percentile("wall_s", F.lit(0.5)).alias("median_s"), named.alias("dimension"))
 
 
 def common_ids(results: DataFrame) -> DataFrame:

@@ -62,28 +62,6 @@ def q_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q_batch_summary",
     """
-    SELECT count(*) AS total, count(*) FILTER (WHERE k % 13 <> 0 AND k % 10 <> 0) AS succeeded, count(*) FILTER (WHERE k % 13 = 0) AS failed, count(*) FILTER (WHERE k % 10 = 0) AS skipped,
-           count(*) FILTER (WHERE k % 6 = 0) AS degraded, round(sum(CAST(k % 100 AS DOUBLE) / 10), 3) AS elapsed FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0)
-    """,
-)
-def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_summary(results(spark, sf_dir)).withColumn("elapsed", F.round("elapsed", 3))
-
-
-@query(
-    "q_report_rows",
-    """
-    SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 10 = 0 THEN 'skipped' WHEN o_orderkey % 13 <> 0 AND o_orderkey % 6 = 0 THEN 'degraded' WHEN o_orderkey % 13 <> 0 THEN 'ok' ELSE 'fail' END AS status,
-           CASE WHEN o_orderkey % 13 = 0 THEN 'broken' END AS note FROM orders WHERE o_orderkey % 2 = 0
-    """,
-)
-def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_rows(results(spark, sf_dir)).select("path", "status", "note")
-
-
-@query(
-    "q_batch_summary_all",
-    """
     SELECT count(*) AS total, count(*) FILTER (WHERE k % 13 <> 0 AND k % 10 <> 0) AS succeeded, count(*) FILTER (WHERE k % 13 = 0) AS failed, count(*) FILTER (WHERE k % 10 = 0) AS skipped,
            count(*) FILTER (WHERE k % 6 = 0) AS degraded, round(sum(CAST(k % 100 AS DOUBLE) / 10), 3) AS elapsed FROM (SELECT o_orderkey AS k FROM orders)
     """,
@@ -93,7 +71,7 @@ def q_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "q_report_rows_all",
+    "q_report_rows",
     """
     SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 10 = 0 THEN 'skipped' WHEN o_orderkey % 13 <> 0 AND o_orderkey % 6 = 0 THEN 'degraded' WHEN o_orderkey % 13 <> 0 THEN 'ok' ELSE 'fail' END AS status,
            CASE WHEN o_orderkey % 13 = 0 THEN 'broken' END AS note FROM orders

@@ -57,13 +57,14 @@ def q_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q_report_grouping_sets",
     f"""
-    SELECT engine, format, lang, domain, truth_type, count(*) AS n, count(*) FILTER (WHERE {_DONE}) AS n_done, round(avg(char_sim) FILTER (WHERE {_DONE}), 6) AS char_sim, round(quantile_cont(wall_s, 0.5), 6) AS median_s
+    SELECT engine, format, lang, domain, truth_type, count(*) AS n, count(*) FILTER (WHERE {_DONE}) AS n_done, round(avg(char_sim) FILTER (WHERE {_DONE}), 6) AS char_sim, round(quantile_cont(wall_s, 0.5), 6) AS median_s,
+           CASE WHEN grouping(format) = 0 THEN 'format' WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(domain) = 0 THEN 'domain' WHEN grouping(truth_type) = 0 THEN 'truth_type' ELSE 'all' END AS dimension
     FROM ({_R}) GROUP BY GROUPING SETS ((engine), (engine, format), (engine, lang), (engine, domain), (engine, truth_type))
     """,
 )
 def q_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grouped_report(results(spark, sf_dir))
-    return g.select("engine", "format", "lang", "domain", "truth_type", "n", "n_done", F.round("char_sim", 6).alias("char_sim"), F.round("median_s", 6).alias("median_s"))
+    return g.select("engine", "format", "lang", "domain", "truth_type", "n", "n_done", F.round("char_sim", 6).alias("char_sim"), F.round("median_s", 6).alias("median_s"), "dimension")
 
 
 _COMMON = f"SELECT id FROM ({_R}) WHERE {_DONE} GROUP BY id HAVING count(DISTINCT engine) = (SELECT count(DISTINCT engine) FROM ({_R}))"

@@ -206,23 +206,8 @@ def sims(df: DataFrame) -> DataFrame:
     return df.select("id", F.round(char_sim("p", "t"), 6).alias("char_sim"), F.round(cer("p", "t"), 6).alias("cer"))
 
 
-@query(
-    "q_benchmark_similarity",
-    r"""
-    WITH b AS (SELECT item_id, left(regexp_replace(text, '[^\x00-\x7f]', '?', 'g'), 300) AS t FROM benchmark)
-    SELECT a.item_id, round(CAST(1 - CAST(levenshtein(a.t, b.t) AS DOUBLE) / greatest(length(a.t), length(b.t)) AS DOUBLE), 9) AS sim
-    FROM b a JOIN b b ON b.item_id = a.item_id + 1
-    """,
-)
+@query("q_benchmark_similarity")  # no SQL: DuckDB's distance counts bytes
 def benchmark_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.left(F.regexp_replace("text", r"[^\x00-\x7f]", "?"), F.lit(300))
-    b = table(spark, sf_dir, "benchmark").select("item_id", t.alias("t"))
-    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
-    return b.join(nxt, "item_id").select("item_id", F.round(similarity(F.col("t"), F.col("u")), 9).alias("sim"))
-
-
-@query("q_benchmark_similarity_whole")  # no SQL: DuckDB's distance counts bytes
-def benchmark_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("u"))
     return b.join(nxt, "item_id").select("item_id", F.round(similarity(F.col("text"), F.col("u")), 9).alias("sim"))

@@ -93,6 +93,12 @@ NUMBER_CELL = re.compile(r"^[\(\[]?\s*(?:\d{1,3}|[a-zA-Z]{1,2}|[ivxlcIVXLC]{1,5}
 FEW_HEADINGS, MANY_PARAGRAPHS = 3, 50
 
 
+def unseen(attrs: dict[str, str]) -> bool:
+    """Whether the attributes hide an element from readers."""
+    style = "".join(attrs.get("style", "").lower().split())
+    return attrs.get("hidden") in ("", "hidden", "true") or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+
 class _Semantic(HTMLParser):
     """Blocks of a page: text between block tags, headings, tables."""
 
@@ -125,14 +131,15 @@ class _Semantic(HTMLParser):
                 self.drop.append(tag)
             return
         a = {k: v or "" for k, v in attrs}
-        classes = set(a.get("class", "").split())
+        classes = set(a.get("class", "").lower().split())
         self.wiki = self.wiki or any(c.startswith("mw-") for c in classes)
         if tag in MATH_TAGS:
             self.text.append(" ")
             self.note["math_stripped"] = "true"
-        gone = tag in DROP_TAGS | MATH_TAGS or classes & DROP_CLASSES or a.get("id") in DROP_IDS or a.get("role") in DROP_ROLES or (tag == "table" and classes & DROP_TABLES)
-        if gone:
-            if tag == "table":
+        other = tag in DROP_TAGS | MATH_TAGS or unseen(a) or classes & DROP_CLASSES or a.get("id") in DROP_IDS or a.get("role", "").lower() in DROP_ROLES
+        boxed = tag == "table" and classes & DROP_TABLES
+        if other or boxed:
+            if not other:
                 self.note["infobox_dropped"] = str(int(self.note.get("infobox_dropped", 0)) + 1)
             if tag not in VOID:
                 self.drop = [tag]

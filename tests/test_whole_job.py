@@ -20,7 +20,7 @@ def test_benchmark_similarity_sees_whole_texts(spark, tmp_path):
     same = "word " * 70
     texts = [same + "end", same + "other end", "café 今天", "cafè 明天", "", "x" * 310, "x" * 310 + "é"]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r.item_id: r.sim for r in catalog.QUERIES["q_benchmark_similarity_whole"](spark, str(tmp_path)).collect()}
+    got = {r.item_id: r.sim for r in catalog.QUERIES["q_benchmark_similarity"](spark, str(tmp_path)).collect()}
     assert got == {i: round(1 - _distance(a, b) / max(len(a), len(b)), 9) for i, (a, b) in enumerate(zip(texts, texts[1:], strict=False))}
 
 
@@ -45,7 +45,7 @@ def test_section_text_has_every_section(spark, sf_dir):
 
 def test_report_and_summary_have_all_results(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
-    assert catalog.QUERIES["q_report_rows_all"](spark, sf_dir).count() == n and catalog.QUERIES["q_batch_summary_all"](spark, sf_dir).head().total == n
+    assert catalog.QUERIES["q_report_rows"](spark, sf_dir).count() == n and catalog.QUERIES["q_batch_summary"](spark, sf_dir).head().total == n
 
 
 def test_chosen_rows_count_against_the_budget(spark):
