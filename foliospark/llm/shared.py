@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 ROWS = 500
-RELEASE_SECONDS = 3.0
+RELEASE_SECONDS = 0.5
 _RELEASED = [0.0]
 
 
@@ -70,7 +70,7 @@ def done_with(*frames: DataFrame | None) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files to which nothing refers any more.
 
-    That takes a collection on the driver, so it is asked for every few seconds at most.
+    That takes a collection on the driver, so not for steps of less than RELEASE_SECONDS.
     """
     if time.monotonic() - _RELEASED[0] < RELEASE_SECONDS:
         return

@@ -14,8 +14,8 @@ intervals of their document.
 Defined cases: a null text has no words; a null id counts as larger than every id and
 rows without id never stand for each other; rows that repeat an id are one document,
 each with its own text; an empty table gives an empty result. Further columns are
-carried along unread. Windows are told apart by 96 bits, two fingerprints of different
-word codes: with n windows the chance of any false match is about n*n / 2**97.
+carried along unread. Windows are told apart by 80 bits, two fingerprints of different
+word codes: with n windows the chance of any false match is about n*n / 2**81.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def _emit_windows(width: int):
             shared = np.unique(np.asarray(pa.compute.list_flatten(b.column("anchors")), dtype=np.int64))
             at = at[np.isin(anchor.view(np.int64), shared)]
             doc = np.searchsorted(w.bounds, at, side="right") - 1
-            other = (rolling(mix(w.code ^ U64(0x2545F4914F6CDD1D)), width)[at] >> U64(32)).astype(np.uint32).view(np.int32)
+            other = (rolling(mix(w.code ^ U64(0x2545F4914F6CDD1D)), width)[at] >> U64(48)).astype(np.uint16).view(np.int16)
             yield pa.RecordBatch.from_arrays(
                 [as_long(rolling(w.code, width)[at]), pa.array(other), pa.array(ints(b.column("k_id"))[doc]), pa.array(ints(b.column("k_text"))[doc]), pa.array((at - w.bounds[doc]).astype(np.int32))],
                 ["window", "other", "k_id", "k_text", "start"],
@@ -99,12 +99,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_doc = written(anchors.join(shared, "anchor").groupBy("k_id", "k_text").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
     done_with(anchors)
     windows = written(
-        keyed.join(few(by_doc, "anchors", sent), ["k_id", "k_text"]).mapInArrow(_emit_windows(width), "window long, other int, k_id long, k_text long, start int"), "windows"
+        keyed.join(few(by_doc, "anchors", sent), ["k_id", "k_text"]).mapInArrow(_emit_windows(width), "window long, other short, k_id long, k_text long, start int"), "windows"
     )
+    done_with(by_doc)
     first = windows.groupBy("window", "other").agg(F.min("k_id").alias("lo"), F.max("k_id").alias("hi")).where("lo < hi").select("window", "other", "lo")
     hits = windows.join(first, ["window", "other"]).where("k_id > lo")
     out = written(hits.groupBy("k_id", "k_text").agg(F.collect_set("start").alias("starts")), "repeats")
-    done_with(by_doc, windows)
+    done_with(windows)
     return out
 
 
