@@ -74,6 +74,19 @@ def unit(column: pa.Array, kind=np.float64) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(kind)
 
 
+def single(v: np.ndarray) -> pa.Array:
+    """Unit vectors in single precision, as the graph compares them: half as much to exchange."""
+    return pa.array(list(map(bytes, v.astype(np.float32))), pa.binary())
+
+
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        dims = np.asarray(pa.compute.binary_length(b.column("vec")), dtype=np.int64)
+        for dim in np.unique(dims):
+            part = b.take(pa.array(np.flatnonzero(dims == dim)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), single(unit(part.column("vec")))], ["v", "vec"])
+
+
 def _hash_planes(tables: int, bits: int, seed: int):
     """Rows for each table: the block key of the vector, its place in the block."""
 
@@ -86,12 +99,13 @@ def _hash_planes(tables: int, bits: int, seed: int):
                     rows = pa.array(np.flatnonzero(dims == dim))
                     part = b.take(rows)
                     v = unit(part.column("vec"))
+                    short = single(v)
                     for t in range(tables):
                         planes = np.random.default_rng([seed, t, int(dim)]).standard_normal((int(dim), bits + 1))
                         side = v @ planes
                         code = ((side[:, :bits] > 0) << np.arange(bits)).sum(axis=1).astype(np.int64)
                         key = (int(dim) << 42) | (t << 34) | code
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side[:, bits]), part.column("id"), part.column("label"), part.column("list"), part.column("vec")], ["k", "place", "id", "label", "list", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side[:, bits]), part.column("id"), part.column("label"), part.column("list"), short], ["k", "place", "id", "label", "list", "vec"])
 
     return run
 
@@ -107,7 +121,7 @@ def _meet(most: int, cross: float | None):
             if t.num_rows < 2:
                 continue
             ids = np.asarray(t.column("id"), dtype=np.int64)
-            v = unit(t.column("vec"), np.float32)
+            v = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(len(ids), -1)
             sims = v @ v.T
             sims[ids[:, None] == ids[None, :]] = -2
             if cross is not None:
@@ -168,11 +182,12 @@ class Graph:
         """Refine until few lists change; gives all edges at the threshold."""
         graph = written(self.top(_met(self.planes(1)), None), "graph")
         pruned = None
+        short = self.reps.select("id", "vec").mapInArrow(_singles, "v long, vec binary")
         for turn in range(ROUNDS):
             links = graph.select("u", "list", F.explode("near").alias("x")).select("u", "list", F.col("x.v").alias("v"), F.col("x.sim").alias("sim"))
             both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).union(links.select("u", F.col("u").alias("v"))).distinct()
             # who lists many is met in blocks of bounded size, in another order each time
-            listed = both.join(self.reps.select(F.col("id").alias("v"), "vec"), "v").join(graph.select("u", "list"), "u", "left")
+            listed = both.join(short, "v").join(graph.select("u", "list"), "u", "left")
             rows = listed.select(F.col("u").alias("k"), (F.xxhash64("v", F.lit(turn)) / F.lit(float(1 << 63))).alias("place"), F.col("v").alias("id"), F.col("v").alias("label"), F.coalesce("list", F.lit(LIST)).alias("list"), "vec")
             found = _met(rows)
             saturated = graph.where(F.expr(f"size(near) >= list and near[size(near) - 1].sim >= {self.threshold - SLACK} and list < {LIST_MOST}"))
