@@ -230,9 +230,12 @@ class Product:
         self.spent: list[DataFrame] = []
         live = rows.where("size > 0 and id is not null")
         same = F.struct("size", "mark_a", "mark_b").alias("same")
-        #: one row stands for all with its set
-        stands = live.groupBy(same).agg(F.min("id").alias("rep"))
-        self.members = written(live.select("id", same).join(stands, "same").select("id", "rep").distinct(), "members")
+        #: one row stands for all with its set; only sets of several rows are joined back, from a
+        #: table, so that a set of very many rows can be split where they are too many to send
+        stands = written(live.groupBy(same).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("same", "rep"), "stands")
+        member = live.select("id", same).join(small(stands), "same", "left")
+        self.members = written(member.select("id", F.coalesce("rep", "id").alias("rep")), "members")
+        done_with(stands)
         others = small(self.members.where("id <> rep").select("id"))
         single = live.join(others, "id", "left_anti")
         index = single.select("id", F.posexplode("prefix").alias("at", "gram"), "size")
