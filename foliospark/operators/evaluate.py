@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.metrics import anchors, heading_f1, kendall, multiset_f1, number_stats, plain_cer, plain_sim
@@ -93,6 +93,18 @@ def summarise(results: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def markdown_table(report: DataFrame, *order: str) -> DataFrame:
+    """(ord, line) of a report as a Markdown table; bars in cells are escaped, null is empty.
+
+    A report has a row for each engine or group, so one task numbers its lines.
+    """
+    names = report.columns
+    cells = [F.concat(F.lit(" "), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit(" |")) for c in names]
+    body = report.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("ord"), F.concat(F.lit("|"), *cells).alias("line"))
+    head = F.array(F.lit("| " + " | ".join(names) + " |"), F.lit("|" + "---|" * len(names)))
+    return report.sparkSession.range(1).select(F.posexplode(head).alias("ord", "line")).unionByName(body)
+
+
 def grouped_report(results: DataFrame, dims: tuple[str, ...] = ("format", "lang", "domain", "truth_type")) -> DataFrame:
     """One row for each engine, and for each engine and value of a dimension (null is one), in one pass."""
     sets = [["engine"], *(["engine", d] for d in dims)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.operators.blocks import flatten, grid_markdown, line_blocks, outline, search, section_lookup, section_text, with_path, with_sections
+from foliospark.operators.blocks import LISTED_SECTIONS, MOST_SECTIONS, flatten, grid_markdown, line_blocks, outline, search, section_lookup, section_text, with_path, with_sections
 from foliospark.operators.chunks import chunk
 from foliospark.operators.qa import needs_ocr, page_qa, page_stats, text_density
 from foliospark.operators.render import cells_to_grid, csv_lines, json_trees, merged, merged_parts, page_fallback, render_html, render_markdown, render_text, table_cells
@@ -76,17 +76,47 @@ def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "ord", "level", F.col("section_end").cast("int").alias("section_end"), F.col("section_tokens").cast("long").alias("section_tokens"))
 
 
-@query("q_outline")
+#: Headings with the end of their section, and what a name means, as SQL.
+_SECTIONS = f"""
+    b AS ({CONVERSATION_BLOCKS}), t AS (SELECT *, {TOKENS_SQL.format('text')} AS tok FROM b), l AS (SELECT doc_id, max(ord) + 1 AS last FROM b GROUP BY doc_id),
+    e AS (SELECT h.doc_id, h.ord, h.level, h.text AS title, h.page, coalesce((SELECT min(n.ord) FROM b n WHERE n.doc_id = h.doc_id AND n.ord > h.ord AND n.kind = 'heading' AND n.level <= h.level), l.last) AS section_end
+          FROM b h JOIN l ON l.doc_id = h.doc_id WHERE h.kind = 'heading'),
+    s AS (SELECT e.*, CAST((SELECT sum(t.tok) FROM t WHERE t.doc_id = e.doc_id AND t.ord >= e.ord AND t.ord < e.section_end) AS BIGINT) AS tokens FROM e)
+"""
+_NAMED = f"""
+    {_SECTIONS}, m AS (SELECT *, regexp_replace(lower(title), '^\\s+|\\s+$', '', 'g') = 'the' AS exact FROM s WHERE contains(lower(title), 'the')),
+    f AS (SELECT * FROM (SELECT *, bool_or(exact) OVER (PARTITION BY doc_id) AS has_exact FROM m) WHERE exact OR NOT has_exact),
+    x AS (SELECT f.doc_id, f.title, min(b.page) AS page, max(b.page) AS last_page, f.tokens,
+                 string_agg(CASE WHEN b.kind = 'heading' THEN repeat('#', least(b.level, 6)) || ' ' || b.text ELSE b.text END, chr(10) || chr(10) ORDER BY b.ord) AS markdown
+          FROM f JOIN b ON b.doc_id = f.doc_id AND b.ord >= f.ord AND b.ord < f.section_end GROUP BY f.doc_id, f.ord, f.title, f.tokens)
+"""
+
+
+@query(
+    "q_outline",
+    f"""
+    WITH {_SECTIONS}, h AS (SELECT doc_id, min(ord) AS head FROM e GROUP BY doc_id)
+    SELECT doc_id, ord, level, title, page, tokens FROM s
+    UNION ALL SELECT t.doc_id, min(t.ord), 0, NULL, min(t.page), CAST(sum(t.tok) AS BIGINT) FROM t LEFT JOIN h ON h.doc_id = t.doc_id WHERE h.head IS NULL OR t.ord < h.head GROUP BY t.doc_id
+    """,
+)
 def q_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline(conversation_blocks(spark, sf_dir))
 
 
-@query("q_section_text")
+@query("q_section_text", f"WITH {_NAMED} SELECT doc_id, title, page, last_page, tokens, markdown FROM x")
 def q_section_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_text(conversation_blocks(spark, sf_dir), "the")
 
 
-@query("q_section_lookup")
+@query(
+    "q_section_lookup",
+    f"""
+    WITH {_NAMED}, n AS (SELECT count(*) AS n FROM f)
+    SELECT x.* FROM x, n WHERE n.n <= {MOST_SECTIONS}
+    UNION ALL SELECT * FROM (SELECT doc_id, title, page, page AS last_page, tokens, NULL AS markdown FROM f, n WHERE n.n > {MOST_SECTIONS} ORDER BY doc_id, ord LIMIT {LISTED_SECTIONS})
+    """,
+)
 def q_section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_lookup(conversation_blocks(spark, sf_dir), "the")
 

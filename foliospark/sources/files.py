@@ -135,3 +135,8 @@ def page_filter(df: DataFrame, spec: str | None, page: str = "page") -> DataFram
     """Rows of the pages that a page specification names."""
     pages = parse_pages(spec)
     return df.where(F.col(page).isin(*pages)) if pages else df
+
+
+def first_n(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first n rows in an order that is given, so that runs agree."""
+    return df.orderBy(*order).limit(n)
