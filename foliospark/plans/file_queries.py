@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators.evaluate import markdown_table
 from foliospark.operators.ledger import MOST_ATTEMPTS
+from foliospark.operators.tidy import tidy_html, tidy_markdown
 from foliospark.plans.registry import CONVERSATION_BLOCKS, conversation_blocks, query, table
 from foliospark.sources.files import MAGIC, attribute_filter, first_n, is_input, page_filter, parse_selection, read_jsonl, read_trees, scan, sniffed
 from foliospark.sources.html_tree import decode
@@ -202,3 +203,20 @@ def q_stream_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = redo(seen).writeStream.format("parquet").option("path", f"{path}/due").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("path string, seq long, attempt int").parquet(f"{path}/due")
+
+
+@query("q_tidy_markdown")
+def q_tidy_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a Markdown list of its lines, tidied."""
+    listed = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "(?m)^(?=.)", "- • ").alias("text"))
+    return tidy_markdown(listed)
+
+
+@query(
+    "q_tidy_html",
+    "SELECT page_id, regexp_replace(html, '<li>[•▪] ', '<li>', 'g') AS html, CAST(len(regexp_extract_all(html, '<li>[•▪] ')) AS BIGINT) AS changed FROM "
+    "(SELECT page_id, replace(html, '<li>', '<li>▪ ') AS html FROM pages)",
+)
+def q_tidy_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with a bullet sign put into its list items, tidied."""
+    return tidy_html(table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<li>"), F.lit("<li>▪ ")).alias("html")), "page_id")
