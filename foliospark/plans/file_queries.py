@@ -88,7 +88,6 @@ def q_sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("path", sniffed(F.col("path"), F.col("content")).alias("kind"))
 
 
-@F.pandas_udf("string")
 def _decoded(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else decode(bytes(b)))
 
@@ -101,7 +100,7 @@ def q_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = marked[0]
     for i, form in enumerate(marked[1:], 1):
         raw = F.when(F.col("page_id") % len(marked) == i, form).otherwise(raw)
-    got = table(spark, sf_dir, "pages").select("page_id", _decoded(raw).alias("html"))
+    got = table(spark, sf_dir, "pages").select("page_id", F.pandas_udf(_decoded, "string")(raw).alias("html"))
     return got.select("page_id", F.length("html").cast("long").alias("n_chars"), F.md5(F.encode("html", "UTF-8")).alias("digest"))
 
 

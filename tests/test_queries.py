@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import pytest
 
 from foliospark.plans import catalog
-from tests.conftest import SF
+from tests.conftest import ROOT, SF
 from tests.oracle import connect, difference
 
 
@@ -29,3 +32,8 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_imports_before_any_session():
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=ROOT, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr[-500:]
