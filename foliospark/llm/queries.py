@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bwt_dedup, embedding_dedup, html_extract, mixing, ngram_join, packing, quality, substring, token_counts, warc
+from foliospark.llm import bpe_codec, bwt_dedup, collocations, embedding_dedup, html_extract, mixing, ngram_join, packing, periodic_runs, quality, substring, token_counts, warc
 from foliospark.llm.shared import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,11 +60,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.codec_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES |= {
     f.__name__: f
     for f in (
         op1_bwt_dedup, op2_embedding_dedup, op3_substring_dedup, op4_warc_round_trip, op5_token_counts,
         op6_quality_rules, op7_ngram_jaccard, op8_pattern_packing, op9_html_extract, op10_mixing,
+        op11_bpe_codec, op12_collocations, op13_periodic_runs,
     )
 }
 
@@ -127,3 +140,20 @@ ORACLES["op7_ngram_jaccard"] = f"""
     SELECT w.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(low.b, w.doc_id)) AS component_id
     FROM w LEFT JOIN size ON size.doc_id = w.doc_id LEFT JOIN low ON low.a = w.doc_id
 """
+
+ORACLES["op12_collocations"] = rf"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    x AS (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+    w AS (SELECT lang, pid, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM x),
+    g AS ({" UNION ALL ".join(
+        f"SELECT lang, {m} AS m, string_agg(word, ' ') OVER f AS phrase, count(*) OVER f AS held FROM w WINDOW f AS (PARTITION BY pid ORDER BY pos ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)" for m in range(1, 6))}),
+    f AS (SELECT lang, m, phrase, count(*) AS a FROM g WHERE held = m GROUP BY ALL HAVING count(*) >= 100),
+    n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+    c AS (SELECT lang, m, phrase, a FROM f WHERE m > 1),
+    k AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM c),
+    s AS (SELECT k.lang, k.phrase, k.m, k.a, x.a AS l, y.a AS r, n.n, CAST((1000::HUGEINT * k.a * n.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score, k
+        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k + 1:], ' ') JOIN n ON n.lang = k.lang),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    kept AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND 100 * c.a >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= 2000
+"""
