@@ -73,6 +73,11 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", F.try_parse_json("value").alias("tree"))
 
 
+def read_tree_lines(spark: SparkSession, path: str, key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """(key, tree) of JSON lines that hold a key and a structure tree, the tree as VARIANT."""
+    return read_jsonl(spark, path, f"{key} {kind}, tree variant")
+
+
 def parse_config(text: str) -> tuple[dict, list[str]]:
     """(settings by dotted key, warnings) of a TOML configuration."""
     out, warnings = {}, []
