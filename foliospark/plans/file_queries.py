@@ -16,6 +16,7 @@ from foliospark.operators.tidy import tidy_html, tidy_markdown
 from foliospark.plans.registry import CONVERSATION_BLOCKS, conversation_blocks, query, table
 from foliospark.sources.files import MAGIC, attribute_filter, first_n, is_input, page_filter, parse_selection, read_jsonl, read_trees, scan, sniffed
 from foliospark.sources.html_tree import decode
+from foliospark.sources.ledger_table import LedgerTable
 from foliospark.sources.parse import SUPPORTED
 from foliospark.sources.writers import read_csv, work_folder, write_csv, write_jsonl, write_trees
 from foliospark.streaming.watch import ledger_sink, redo
@@ -183,7 +184,7 @@ def q_stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     run = _stream(spark, sf_dir).select("event_id", "event_type").writeStream.foreachBatch(twice).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{path}/ledger").select("event_id", "event_type")
+    return LedgerTable(spark, f"{path}/ledger", "event_id").read().select("event_id", "event_type")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliospark.operators.ledger import MOST_ATTEMPTS
+from foliospark.sources.ledger_table import LedgerTable
 
 
 def settled(observations: DataFrame) -> DataFrame:
@@ -57,11 +58,20 @@ def landing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
-def ledger_sink(path: str, key: str = "path") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: appends a batch's rows once, however often the batch is run."""
+def source_of(batch: DataFrame) -> str:
+    """The id of the stream that a ``foreachBatch`` function is called by; empty outside of one."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
+def ledger_sink(path: str, key: str = "path", order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: merges a batch into a ledger table by key.
+
+    A batch that is run again changes nothing; a stream with a new checkpoint, whose epochs
+    start anew, is another source and adds to what is there.
+    """
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates([key]).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        LedgerTable(batch.sparkSession, path, key, order).merge(batch, source_of(batch), epoch)
 
     return save
 

@@ -237,11 +237,3 @@ def test_event_windows_as_a_stream_equal_the_batch(spark, sf_dir, tmp_path):
     batch = watch.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet"))
     key = lambda df: sorted((r.start, r.event_type, r.n) for r in df.collect())
     assert key(spark.table("windows")) == key(batch)
-
-
-def test_ledger_sink_is_idempotent(spark, tmp_path):
-    save = watch.ledger_sink(str(tmp_path / "l"))
-    batch = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "path string, n int")
-    save(batch, 1)
-    save(batch, 1)
-    assert spark.read.parquet(str(tmp_path / "l/*")).count() == 2
