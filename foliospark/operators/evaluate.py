@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.metrics import anchors, heading_f1, kendall, multiset_f1, number_stats, plain_cer, plain_sim
 from foliospark.functions.text import cjk_inner_spaces, compat_residual, md_headings, md_tables, norm_text, norm_ws, numbers
+from foliospark.operators.ranks import order_statistics
 
 # Columns whose means the report gives, and statuses that count as done.
 QUALITY = ("char_sim", "cer", "heading_f1", "cell_f1", "order_tau", "digit_f1")
@@ -72,10 +73,26 @@ def truths_from_blocks(blocks: DataFrame, with_headings: Column | None = None) -
     return out.withColumn("headings", F.when(F.col("_f"), F.col("headings"))).withColumn("heading_levels", F.when(F.col("_f"), F.col("heading_levels"))).drop("_f")
 
 
-def p95(c: str) -> Column:
-    """The value at place int(0.95 n) of n >= 20 sorted values, else the largest."""
-    xs = F.array_sort(F.collect_list(c))
-    return F.round(F.when(F.size(xs) >= 20, F.element_at(xs, F.greatest(F.floor(F.size(xs) * 0.95), F.lit(1)).cast("int"))).otherwise(F.array_max(xs)), 1)
+def p95_place(n: Column) -> Column:
+    """Of n sorted values the place int(0.95 n) where there are 20 or more, else the last."""
+    return F.when(n >= 20, F.greatest(F.floor(n * 0.95), F.lit(1))).otherwise(n)
+
+
+def times(results: DataFrame, by: tuple[str, ...], value: str = "wall_s") -> DataFrame:
+    """(by, median_s, p95_s) of each group, exact, without a list of a group's values."""
+    places = {"_lo": lambda n: F.floor((n + 1) / 2), "_hi": lambda n: F.ceil((n + 1) / 2), "_p95": p95_place}
+    at = order_statistics(results, by, value, places)
+    return at.select(*by, ((F.col("_lo") + F.col("_hi")) / 2).alias("median_s"), F.round("_p95", 1).alias("p95_s"))
+
+
+def with_times(groups: DataFrame, results: DataFrame, *by: str) -> DataFrame:
+    """Rows of groups with the times of their results."""
+    t = times(results, by)
+    t = t.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(by)], "median_s", "p95_s")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_t{i}"))
+    return groups.join(t, same, "left").drop(*[f"_t{i}" for i in range(len(by))])
 
 
 def summarise(results: DataFrame, *by: str) -> DataFrame:
@@ -87,10 +104,10 @@ def summarise(results: DataFrame, *by: str) -> DataFrame:
     if "rtl_visual_ratio" in results.columns:
         rtl = [F.concat_ws("/", F.count_if(F.col("rtl_visual_ratio") > 2 / 3).cast("string"), F.count("rtl_visual_ratio").cast("string")).alias("rtl_vis")]
     statuses = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "degraded", "fail", "timeout", "unsupported")]
-    return results.groupBy(*by).agg(
+    out = results.groupBy(*by).agg(
         F.count("*").alias("n"), (F.count_if(done) / F.count("*") * 100).alias("ok_percent"), *statuses, *means, *sums, *rtl,
-        F.percentile("wall_s", F.lit(0.5)).alias("median_s"), p95("wall_s").alias("p95_s"),
     )
+    return with_times(out, results, *by)
 
 
 def markdown_table(report: DataFrame, *order: str) -> DataFrame:

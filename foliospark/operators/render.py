@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import strip
+from foliospark.operators.ranks import prefix_sums
 from foliospark.operators.blocks import grid_markdown
 
 SEPARATOR = "\n---\n"
@@ -87,7 +88,7 @@ def json_trees(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
 def merged(texts: DataFrame, title: str = "title", body: str = "text", order: str = "doc_id") -> DataFrame:
     """One text of all documents: a table of contents, then each under a heading of level 1.
 
-    The result is one file by definition; ``merged_parts`` gives its parts for larger sets.
+    One value in one task, for small sets; ``write_merged`` writes the same bytes as files for sets of any size.
     """
     parts = merged_parts(texts, title, body, order)
     both = parts.select(F.lit(0).alias("part"), F.col("n"), F.col("entry").alias("piece"), F.lit("\n").alias("g")).unionByName(parts.select(F.lit(1).alias("part"), "n", F.col("section").alias("piece"), F.lit("\n\n").alias("g")))
@@ -104,6 +105,28 @@ def merged_parts(texts: DataFrame, title: str = "title", body: str = "text", ord
     )
 
 
+def merged_lines(texts: DataFrame, title: str = "title", body: str = "text", order: str = "doc_id") -> DataFrame:
+    """(part, n, piece, at, bytes): what ``merged`` joins, in order, with the byte where each piece starts.
+
+    The pieces stand in range partitions, so the sums of bytes need no task that sees them all.
+    """
+    parts = merged_parts(texts, title, body, order)
+    lines = parts.select(F.lit(0).alias("part"), "n", F.concat("entry", F.lit("\n")).alias("piece")).unionByName(parts.select(F.lit(1).alias("part"), "n", F.concat("section", F.lit("\n\n")).alias("piece")))
+    return prefix_sums(lines.withColumn("bytes", F.octet_length("piece").cast("long")), (), ("part", "n"), F.col("bytes"), "at")
+
+
+def write_merged(texts: DataFrame, path: str, title: str = "title", body: str = "text", order: str = "doc_id", files: int | None = None) -> DataFrame:
+    """Write ``merged`` as text files whose names are in reading order; put end to end they are its bytes.
+
+    Gives the index of the pieces (part, n, at, bytes), so that one document's section can be read alone.
+    """
+    lines = merged_lines(texts, title, body, order)
+    spread = lines.repartitionByRange(files, "part", "n") if files else lines.repartitionByRange("part", "n")
+    # the sink ends each record with the line break that every piece ends with
+    spread.sortWithinPartitions("part", "n").select(F.substring("piece", F.lit(1), F.length("piece") - 1).alias("value")).write.option("lineSep", "\n").text(path)
+    return lines.select("part", "n", "at", "bytes")
+
+
 def page_fallback(pages: DataFrame, separator: str = SEPARATOR) -> DataFrame:
     """(doc_id, text) of plain page texts, a separator before each page but the first."""
     w = Window.partitionBy("doc_id").orderBy("page")

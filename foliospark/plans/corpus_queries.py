@@ -104,3 +104,28 @@ def q_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = manifest(spark, sf_dir).withColumn("path", F.col("source")).withColumn("truth_src", F.when(F.col("source") != "src0", F.col("source")))
     files = m.where(F.col("doc_id") % 3 == 0).select("path", "sha256")
     return finished_shards(m, files).select("id")
+
+
+#: Ids of orders: customers give most, some are named like a renamed one.
+_CLASH = """
+    SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 7 = 0 THEN 'c' || o_custkey % 20 || '_' || (2 + o_orderkey % 19) WHEN o_orderkey % 97 = 0 THEN 'c' || o_custkey % 20 || '_2_' || (2 + o_orderkey % 3)
+        ELSE 'c' || o_custkey % 20 END AS id FROM orders
+"""
+
+
+@query(
+    "q_unique_ids_clash",
+    rf"""
+    WITH o AS ({_CLASH}), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS k FROM o),
+    n AS (SELECT id, count(*) AS n FROM o GROUP BY id),
+    t AS (SELECT DISTINCT regexp_extract(id, '^(.*)_([1-9][0-9]*)$', 1) AS base, CAST(regexp_extract(id, '^(.*)_([1-9][0-9]*)$', 2) AS BIGINT) AS i FROM o WHERE regexp_matches(id, '_[1-9][0-9]*$')),
+    c AS (SELECT id, unnest(range(2, n + 2 + (SELECT count(*) FROM t WHERE t.base = n.id))) AS i FROM n),
+    f AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.base = c.id AND t.i = c.i))
+    SELECT ord, CASE WHEN k.k = 1 THEN k.id ELSE k.id || '_' || f.i END AS id FROM k LEFT JOIN f ON f.id = k.id AND f.k = k.k - 1
+    """,
+)
+def q_unique_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k, base = F.col("o_orderkey"), F.concat(F.lit("c"), (F.col("o_custkey") % 20).cast("string"))
+    named = F.when(k % 7 == 0, F.concat(base, F.lit("_"), (2 + k % 19).cast("string"))).when(k % 97 == 0, F.concat(base, F.lit("_2_"), (2 + k % 3).cast("string"))).otherwise(base)
+    return unique_ids(o.select(k.alias("ord"), named.alias("id")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.metrics import kendall
-from foliospark.operators.evaluate import by_channel, common_ids, digit_dense, grouped_report, on_common, pairwise, rescored_delta, score, summarise, to_retry, truths_from_blocks, worst
+from foliospark.operators.evaluate import by_channel, common_ids, digit_dense, grouped_report, on_common, pairwise, rescored_delta, score, summarise, times, to_retry, truths_from_blocks, worst
 from foliospark.operators.render import render_markdown
 from foliospark.plans.registry import query, table
 from foliospark.sources.parse import html_nodes
@@ -170,3 +170,18 @@ def q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = nodes.where("type in ('heading', 'paragraph')").select("doc_id", "ord", F.col("type").alias("kind"), "level", F.col("content").alias("text"), "grid")
     t = truths_from_blocks(truth).withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
     return score(md, t).drop("markdown")
+
+
+@query(
+    "q_order_statistics",
+    """
+    SELECT 'all' AS flag, round(quantile_cont(l_extendedprice, 0.5), 6) AS median_s, round(list_sort(list(l_extendedprice))[CAST(floor(count(*) * 0.95) AS BIGINT)], 1) AS p95_s FROM lineitem
+    UNION ALL SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6), round(list_sort(list(l_extendedprice))[CAST(floor(count(*) * 0.95) AS BIGINT)], 1) FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def q_order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact median and 95th percentile of one group of all rows, and of three groups."""
+    li = table(spark, sf_dir, "lineitem")
+    whole = times(li, (), "l_extendedprice").select(F.lit("all").alias("flag"), "median_s", "p95_s")
+    each = times(li, ("l_returnflag",), "l_extendedprice").withColumnRenamed("l_returnflag", "flag")
+    return whole.unionByName(each).withColumn("median_s", F.round("median_s", 6))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from foliospark.operators.blocks import LISTED_SECTIONS, MOST_SECTIONS, flatten, grid_markdown, line_blocks, outline, search, section_lookup, section_text, with_path, with_sections
 from foliospark.operators.chunks import chunk
 from foliospark.operators.qa import needs_ocr, page_qa, page_stats, text_density
-from foliospark.operators.render import cells_to_grid, csv_lines, json_trees, merged, merged_parts, page_fallback, render_html, render_markdown, render_text, table_cells
+from foliospark.operators.render import cells_to_grid, csv_lines, json_trees, merged, merged_parts, page_fallback, render_html, render_markdown, render_text, table_cells, write_merged
 from foliospark.operators.tidy import compat_nodes, promote_numbered, tidy
 from foliospark.plans.registry import CONVERSATION_BLOCKS, TOKENS_SQL, cases, conversation_blocks, query, table
 from foliospark.sources.parse import html_nodes
+from foliospark.sources.writers import work_folder
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,6 +278,22 @@ def q_merged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_parts(b)
 
 
+@query(
+    "q_merged_files",
+    r"""
+    WITH d AS (SELECT doc_id AS n, 'Doc ' || doc_id AS title, trim(regexp_replace(text, '(?m)^(#{1,5}) ', '#\1 ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM documents),
+    p AS (SELECT 0 AS part, n, '- [' || title || '](#doc-' || n || ')' || chr(10) AS piece FROM d
+          UNION ALL SELECT 1, n, '<a id="doc-' || n || '"></a>' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || body || chr(10) || chr(10) FROM d),
+    b AS (SELECT part, n, octet_length(encode(piece)) AS bytes FROM p)
+    SELECT part, n, CAST(sum(bytes) OVER (ORDER BY part, n) - bytes AS BIGINT) AS at, CAST(bytes AS BIGINT) AS bytes FROM b
+    """,
+)
+def q_merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents merged into files in reading order; where each piece stands in them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "text")
+    return write_merged(d, work_folder(spark, "merged"))
+
+
 @query("q_merged")
 def q_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("title"), "text")
