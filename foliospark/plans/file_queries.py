@@ -10,11 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.operators.block_table import BlockTable
+from foliospark.operators.blocks import line_blocks
 from foliospark.operators.evaluate import markdown_table
 from foliospark.operators.ledger import MOST_ATTEMPTS
 from foliospark.operators.tidy import tidy_html, tidy_markdown
 from foliospark.plans.registry import CONVERSATION_BLOCKS, conversation_blocks, query, table
 from foliospark.sources.files import MAGIC, attribute_filter, first_n, is_input, page_filter, parse_selection, read_jsonl, read_trees, scan, sniffed
+from foliospark.sources.document_files import register
 from foliospark.sources.html_tree import decode
 from foliospark.sources.ledger_table import LedgerTable
 from foliospark.sources.parse import SUPPORTED
@@ -220,3 +223,60 @@ def q_tidy_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_tidy_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with a bullet sign put into its list items, tidied."""
     return tidy_html(table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<li>"), F.lit("<li>▪ ")).alias("html")), "page_id")
+
+
+_FOLDER = "SELECT lang, count(*) AS n, CAST(sum(octet_length(encode(replace(coalesce(text, ''), chr(10), ' '))) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang"
+
+
+def _as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as lines of files in a folder for each language."""
+    line = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", line.alias("value"))
+
+
+def _in_folders(files: DataFrame) -> DataFrame:
+    raw = F.col("content")
+    lines = F.length(raw) - F.length(F.replace(F.decode(raw, "ISO-8859-1"), F.lit("\n"), F.lit("")))
+    return files.groupBy(F.regexp_extract("path", r"/lang=([^/]*)/", 1).alias("lang")).agg(F.sum(lines).alias("n"), F.sum(F.length(raw)).alias("bytes"))
+
+
+@query("q_document_files", _FOLDER)
+def q_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files through the data source: those of another ending and empty ones are filtered in the listing."""
+    root = work_folder(spark, "document-files")
+    _as_files(spark, sf_dir).drop("doc_id").write.partitionBy("lang").text(root)
+    register(spark)
+    found = spark.read.format("document_files").option("supported", "false").schema("path string, size long, content binary").load(root)
+    return _in_folders(found.where(F.col("path").endswith(".txt") & (F.col("size") > 0)))
+
+
+@query("q_document_stream", _FOLDER)
+def q_document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream: two runs over a folder that grows in between."""
+    root = work_folder(spark, "document-stream")
+    register(spark)
+    texts = _as_files(spark, sf_dir)
+    for half in (0, 1):
+        texts.where(F.pmod("doc_id", F.lit(2)) == half).drop("doc_id").write.mode("append").partitionBy("lang").text(f"{root}/in")
+        stream = spark.readStream.format("document_files").option("supported", "false").option("lagSeconds", "0").load(f"{root}/in").where("ext = 'txt'")
+        run = stream.select("path", "content").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return _in_folders(spark.read.schema("path string, content binary").parquet(f"{root}/out"))
+
+
+@query(
+    "q_block_table",
+    """
+    WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 10 = 0 THEN 'changed ' || text ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0),
+    l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM d)
+    SELECT path, CAST(ord AS INTEGER) AS ord, text FROM l WHERE text <> ''
+    """,
+)
+def q_block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of all documents after a tenth of them changed and some went; only those are parsed again."""
+    d = table(spark, sf_dir, "documents")
+    files = lambda text: d.select("doc_id", F.col("doc_id").cast("string").alias("path"), F.lit(0.0).alias("mtime"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
+    blocks = BlockTable(spark, work_folder(spark, "block-table"), lambda x: line_blocks(x, "path").withColumnRenamed("doc_id", "path"))
+    blocks.refresh(files(F.col("text")))
+    blocks.refresh(files(F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("changed "), F.col("text"))).otherwise(F.col("text"))).where("doc_id % 17 <> 0"))
+    return blocks.read().select("path", "ord", "text")

@@ -116,34 +116,50 @@ class LedgerTable:
 
     def merge(self, rows: DataFrame, source: str | None = None, epoch: int | None = None) -> bool:
         """Merge rows by key as one version; False where this epoch of the source was merged before."""
+        return self._write(rows, None, source, epoch)
+
+    def swap(self, rows: DataFrame, keys: DataFrame) -> bool:
+        """Put ``rows``, any number for each key, in the place of all rows of ``keys``, as one version."""
+        return self._write(rows, keys.select(*self.keys).distinct(), None, None)
+
+    def _write(self, rows: DataFrame, gone: DataFrame | None, source: str | None, epoch: int | None) -> bool:
         for _ in range(TRIES):
             v = self.version()
             if source is not None and epoch is not None and epoch <= v.epochs.get(source, -1):
                 return False
             try:
-                self.commit(self._merged(v, rows, source, epoch))
+                self.commit(self._merged(v, rows, gone, source, epoch))
                 return True
             except Conflict:
                 continue
         raise Conflict(f"{TRIES} other writers in a row at {self.path}")
 
-    def _merged(self, v: Version, rows: DataFrame, source: str | None, epoch: int | None) -> Version:
+    def _merged(self, v: Version, rows: DataFrame, gone: DataFrame | None, source: str | None, epoch: int | None) -> Version:
         buckets = v.buckets or self.buckets
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
         folder = f"data/{uuid.uuid4().hex}"
         held = rows.persist()
         try:
-            touched = [str(r[0]) for r in held.select(bucket).distinct().collect()]  # at most one row a bucket
-            both = held.select("*", F.lit(1).alias("_side"))
-            if (old := self._rows(v, touched)) is not None:
-                both = both.unionByName(old.select("*", F.lit(0).alias("_side")))
+            hit = held.select(bucket.alias("b")) if gone is None else held.select(bucket.alias("b")).union(gone.select(bucket.alias("b")))
+            touched = [str(r[0]) for r in hit.distinct().collect()]  # at most one row a bucket
+            old = self._rows(v, touched)
+            if gone is None:
+                both = held.select("*", F.lit(1).alias("_side"))
+                both = self._newest(both if old is None else both.unionByName(old.select("*", F.lit(0).alias("_side"))))
+            else:
+                both = held if old is None else held.unionByName(old.join(gone, list(self.keys), "left_anti").select(*held.columns))
             if touched:
-                self._newest(both).withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+                both.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+            written = self._buckets_in(folder) if touched else set()
         finally:
             held.unpersist()
         epochs = v.epochs | ({source: epoch} if source is not None and epoch is not None else {})
-        folders = v.folders | {b: f"{folder}/bucket={b}" for b in touched}
-        return Version(v.number + 1, v.schema or rows.schema.json(), buckets, folders, epochs)
+        kept = {b: f for b, f in v.folders.items() if b not in touched}
+        return Version(v.number + 1, v.schema or rows.schema.json(), buckets, kept | {b: f"{folder}/bucket={b}" for b in written}, epochs)
+
+    def _buckets_in(self, folder: str) -> set[str]:
+        """Buckets that a write left rows in; one whose rows are all gone has no folder."""
+        return {s.getPath().getName()[7:] for s in self.fs.listStatus(self._at(folder)) if s.isDirectory()}
 
     def forget(self, keep: int = 1) -> int:
         """Delete what the last ``keep`` versions do not name; how many folders went. Not beside writers."""
