@@ -59,9 +59,16 @@ def f_score(p: Column, r: Column) -> Column:
 
 
 def shared_count(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    """Size of the multiset intersection of two arrays of strings: one pass over both, sorted together."""
+    tagged = lambda xs, side: F.transform(xs, lambda x: F.struct(x.alias("v"), F.lit(side).alias("s")))
+    start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("free"), F.lit(0).alias("n"))
+
+    def step(state: Column, x: Column) -> Column:
+        free = F.when(state["v"].eqNullSafe(x["v"]), state["free"]).otherwise(0)
+        hit = ((x["s"] == 1) & (free > 0)).cast("int")
+        return F.struct(x["v"].alias("v"), (free + F.when(x["s"] == 0, 1).otherwise(0) - hit).alias("free"), (state["n"] + hit).alias("n"))
+
+    return F.aggregate(F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))), start, step, lambda x: x["n"])
 
 
 def multiset_f1(pred: Column, truth: Column) -> Column:
@@ -107,7 +114,11 @@ def heading_tp(pred: Column, truth: Column) -> Column:
 
 
 def heading_f1(pred: str | Column, truth: str | Column) -> Column:
-    pred, truth = F.transform(col(pred), norm_text), F.transform(col(truth), norm_text)
+    return heading_score(F.transform(col(pred), norm_text), F.transform(col(truth), norm_text))
+
+
+def heading_score(pred: Column, truth: Column) -> Column:
+    """As ``heading_f1``, for normalised headings (columns: lambdas read them once for each element)."""
     tp = heading_tp(pred, truth)
     p = precision(tp, F.size(pred) - tp, F.size(truth) - tp)
     return F.when((F.size(pred) == 0) & (F.size(truth) == 0), 1.0).otherwise(f_score(p, recall(tp, F.size(truth) - tp)))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Functions over literal rows and the SQL of the literal result; tests run them, they are no queries.
+CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -48,14 +50,13 @@ def values_sql(columns: dict[str, str], rows: list[tuple]) -> str:
 
 
 def cases(name: str, schema: str, rows: list[tuple], columns: dict[str, str], expected: list[tuple]):
-    """Register a query over literal rows whose reference is the literal result."""
+    """Note a function over literal rows whose reference is the literal result, for the tests."""
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(spark.createDataFrame(rows, schema))
 
-        QUERIES[name] = run
-        ORACLES[name] = values_sql(columns, expected)
+        CASES[name] = (run, values_sql(columns, expected))
         return fn
 
     return add

@@ -22,6 +22,12 @@ def test_oracle(spark, con, name):
     assert difference(spark, con, catalog.QUERIES[name], catalog.ORACLES[name], SF) is None
 
 
+@pytest.mark.parametrize("name", sorted(catalog.CASES))
+def test_cases(spark, con, name):
+    run, sql = catalog.CASES[name]
+    assert difference(spark, con, run, sql, SF) is None
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
