@@ -14,12 +14,15 @@ Chunked transfer framing is decoded and the payload digest verified.
 Defined cases: null html is an empty payload; a null page_id is written without that
 header and reads back as null, and never stands for other pages; rows that repeat the
 id and payload of a response are responses; empty tables give empty archives and
-results. Records that do not verify come back with ``error`` set.
+results. Records that do not verify come back with ``error`` set. A file that cannot be
+read to its end gives the records before that place, and one row that has only ``error``,
+with the file's path and what stopped it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -157,27 +160,56 @@ _READ = (
 _READ_ARROW = pa.schema([("origin", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("payload", pa.binary()), ("error", pa.string())])
 
 
+def _inflated(data: bytes) -> tuple[bytes, str | None]:
+    """What the gzip members of a file hold, as far as they can be read, and what stopped it."""
+    if data[:2] != b"\x1f\x8b":
+        return data, None
+    whole, rest = [], data
+    while rest:
+        d = zlib.decompressobj(31)
+        try:
+            whole.append(d.decompress(rest))
+        except zlib.error as e:
+            return b"".join(whole), str(e)
+        if not d.eof:
+            return b"".join(whole), "the last gzip member is cut short"
+        rest = d.unused_data
+    return b"".join(whole), None
+
+
+def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes] | str]:
+    """The records of a file; where it cannot be read on, what stopped it as the last item."""
+    data, stopped = _inflated(data)
+    try:
+        yield from parse(data)
+    except (ValueError, KeyError) as e:
+        stopped = stopped or (f"a header lacks {e}" if isinstance(e, KeyError) else str(e))
+    if stopped:
+        yield stopped
+
+
+def _number(text: str | None) -> int | None:
+    """A header's number; null where it is none."""
+    return int(text) if text and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
 def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for content in b.column("content"):
-            data = content.as_py()
-            if data[:2] == b"\x1f\x8b":
-                whole, rest = [], data
-                while rest:  # any number of gzip members
-                    d = zlib.decompressobj(31)
-                    whole.append(d.decompress(rest))
-                    rest = d.unused_data
-                data = b"".join(whole)
+        for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
             rows, held = [], 0
-            for head, block in parse(data):
+            for record in _records(content.as_py()):
+                if isinstance(record, str):
+                    rows.append([None] * (len(_READ_ARROW) - 1) + [f"{path}: {record}"])
+                    continue
+                head, block = record
                 kind = head.get("warc-type")
                 if kind not in ("response", "revisit", "continuation"):
                     continue
                 number = head.get("warc-segment-number")
                 page, refers = head.get("x-page-id"), head.get("warc-refers-to", "")
                 row = [
-                    head.get("warc-segment-origin-id") or head.get("warc-record-id"), int(page) if page else None, head.get("warc-target-uri"), kind, int(refers.removeprefix("<urn:page:").removesuffix(">")) if refers.startswith("<urn:page:") else None,
-                    (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None, int(number) if number else None, int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None,
+                    head.get("warc-segment-origin-id") or head.get("warc-record-id"), _number(page), head.get("warc-target-uri"), kind, _number(refers.removeprefix("<urn:page:").removesuffix(">")) if refers.startswith("<urn:page:") else None,
+                    (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None, _number(number), _number(head.get("warc-segment-total-length")),
                 ]
                 if number:
                     row += [block, None, None]
@@ -222,7 +254,7 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, refers_to, digest, payload, error of the records under ``path``."""
-    read = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse_files, _READ)
+    read = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parse_files, _READ)
     whole = read.where("segment is null")
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     parts = read.where("segment is not null").groupBy("origin").agg(

@@ -33,6 +33,24 @@ def test_round_trip(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_unreadable_files_are_rows(spark, tmp_path):
+    import gzip
+
+    one = b"".join(r + warc.END for r in warc.page_records(1, "u", b"first", hashlib.sha1(b"first").hexdigest(), "response", None, "0" * 32))
+    two = b"".join(r + warc.END for r in warc.page_records(2, "u", b"second", hashlib.sha1(b"second").hexdigest(), "response", None, "1" * 32))
+    files = {
+        "good": gzip.compress(one) + gzip.compress(two), "noise": b"no archive at all", "cut": one + two[:-20], "gzip-cut": gzip.compress(one) + gzip.compress(two)[:-12],
+        "gzip-tail": gzip.compress(one) + b"\0\0", "no-length": two.replace(b"Content-Length", b"Content-Size"), "numbers": one.replace(b"X-Page-ID: 1", b"X-Page-ID: one"), "empty": b"",
+    }
+    for name, content in files.items():
+        (tmp_path / f"{name}.warc").write_bytes(content)
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    bad = {r.error.split(".warc: ")[0].rsplit("/", 1)[1] for r in rows if r.error}
+    assert bad == {"noise", "cut", "gzip-cut", "gzip-tail", "no-length"}
+    assert all(r.page_id is None and r.payload is None and r.record_type is None for r in rows if r.error)
+    assert sorted(bytes(r.payload) for r in rows if not r.error) == [b"first"] * 5 + [b"second"]
+
+
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
