@@ -1,7 +1,10 @@
 """Leaf blocks of a web page: text between block-level boundaries, with its tag path.
 
 A small tokenizer that takes pages as they come: unclosed and stray tags, missing end
-tags, raw-text elements with markup inside, comments, character references.
+tags, raw-text elements with markup inside, comments, character references. Formulas,
+and what is shown where scripts, players or plug-ins are missing, are text like other.
+Of the elements whose content is skipped, only scripts and styles that never end take
+the rest of the page with them.
 """
 
 from __future__ import annotations
@@ -13,11 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 #: Elements by the part they play in the block structure.
-RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "select", "canvas", "video", "audio", "title"}
+RAW = {"script", "style", "template", "iframe", "svg", "textarea", "select", "title", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
     "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
+    "object", "video", "audio", "canvas", "picture",
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mfrac", "msqrt", "mroot", "mstyle", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mtable", "mtr", "mtd",
 }
 #: An element of the first kind ends open elements of the second, up to a container.
 CLOSES = {
@@ -90,6 +95,7 @@ def blocks(page: str | None) -> list[Block]:
     open_: Counter[str] = Counter()
     text: list[tuple[str, bool]] = []
     page = page or ""
+    endless: set[str] = set()  # raw-text elements that no end tag follows
 
     def flush() -> None:
         if not text:
@@ -141,9 +147,14 @@ def blocks(page: str | None) -> list[Block]:
         if tag in RAW:
             if tag != "title" and tag not in INLINE:
                 text.append((" ", open_["a"] > 0))
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+            if not m[3].rstrip().endswith("/") or tag != "svg":
+                stop = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                if stop:
+                    at = stop.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    endless.add(tag)
             continue
         if tag in VOID:
             if tag == "hr":

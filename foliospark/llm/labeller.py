@@ -1,7 +1,8 @@
 """A recurrent block labeller: a bidirectional LSTM in numpy over a page's leaf blocks.
 
 Each block is a vector of its tag path (hashed names of its ancestors and of their
-classes), its hashed words, and a few figures; the network reads the page's blocks from
+classes), its hashed words, and a few figures, among them what part of the page's text
+stands in the same element; the network reads the page's blocks from
 both ends and gives each a probability of being main text. The weights beside this
 module were trained by ``python -m foliospark.llm.train_labeller`` on generated pages.
 """
@@ -19,11 +20,18 @@ import pyarrow as pa
 from foliospark.llm.html_blocks import Block, Path
 from foliospark.llm.kernels import U64, Texts, Words
 
-PATH, LEAF, WORDS, FIGURES = 192, 48, 16, 8
+PATH, LEAF, WORDS, FIGURES = 192, 48, 96, 18
 WIDTH = PATH + LEAF + WORDS + FIGURES
-HIDDEN = 16
+HIDDEN = 24
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "labeller.npz")
 _PART = re.compile(r"[a-z]+")
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_ENDS = re.compile(r"[.!?…。！？؟।]")
+_COMMAS = re.compile(r"[,;:，、；：،]")
+_DIGITS = re.compile(r"[0-9]")
+_ASIDE = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu"}
+_MAIN = {"article", "main"}
+_HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 @lru_cache(maxsize=20_000)
@@ -52,6 +60,42 @@ def _path_dims(path: Path, seen: dict[Path, np.ndarray]) -> np.ndarray:
     return have
 
 
+def _parts(path: Path | None, seen: dict[Path, tuple[bool, bool]]) -> tuple[bool, bool]:
+    """Whether a path leads through an element beside the text, and through one for the text."""
+    todo, at = [], path
+    while at is not None and at not in seen:
+        todo.append(at)
+        at = at.up
+    have = seen[at] if at is not None else (False, False)
+    for at in reversed(todo):
+        tag = at.name.split(".", 1)[0]
+        have = (have[0] or tag in _ASIDE, have[1] or tag in _MAIN)
+        seen[at] = have
+    return have
+
+
+def _shares(page: list[Block], weight: np.ndarray) -> np.ndarray:
+    """For each block the part of the page's text that its parent, and the parent above, hold.
+
+    The second pair counts blocks by themselves that are not links.
+    """
+    out = np.zeros((len(page), 4), np.float32)
+    free = weight * np.array([2 * b.linked < len(b.text) for b in page])
+    for k in (0, 1):
+        held: dict[Path | None, list[float]] = {}
+        at = [b.path.up if b.path is not None else None for b in page]
+        if k:
+            at = [p.up if p is not None else None for p in at]
+        for p, w, u in zip(at, weight.tolist(), free.tolist(), strict=True):
+            sums = held.setdefault(p, [0.0, 0.0])
+            sums[0] += w
+            sums[1] += u
+        out[:, 2 * k : 2 * k + 2] = [held[p] for p in at]
+    out[:, 0::2] /= max(float(weight.sum()), 1.0)
+    out[:, 1::2] /= max(float(free.sum()), 1.0)
+    return out
+
+
 def features(pages: list[list[Block]]) -> np.ndarray:
     """A row for each block of all pages, in order."""
     flat = [b for page in pages for b in page]
@@ -67,17 +111,29 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     w = Words(t, lower=True)
     n = w.counts()
     each = np.bincount(w.doc() * WORDS + (w.code % U64(WORDS)).astype(np.int64), minlength=len(flat) * WORDS).reshape(-1, WORDS)
-    out[:, PATH + LEAF : PATH + LEAF + WORDS] = 0.5 * each / np.sqrt(np.maximum(n, 1))[:, None]
+    out[:, PATH + LEAF : PATH + LEAF + WORDS] = each / np.maximum(np.sqrt((each * each).sum(axis=1)), 1)[:, None]
     chars = np.array([len(b.text) for b in flat], np.float32)
     f = out[:, -FIGURES:]
-    f[:, 0] = np.log1p(chars) / 6
+    wide = np.array([len(_WIDE.findall(b.text)) for b in flat], np.float32)
+    weight = chars + 2 * wide  # a letter of these scripts says about as much as three
+    f[:, 0] = np.log1p(weight) / 6
     f[:, 1] = np.array([b.linked for b in flat], np.float32) / np.maximum(chars, 1)
     f[:, 2] = np.log1p(n) / 5
-    f[:, 3] = [b.text[-1] in ".!?\"'…:;)" for b in flat]
+    f[:, 3] = [b.text[-1] in ".!?\"'…:;)。！？」”»؟" for b in flat]
     f[:, 4] = [b.hidden for b in flat]
     f[:, 5] = np.concatenate([np.arange(len(p)) / max(len(p), 1) for p in pages]) if pages else 0
     f[:, 6] = [min(len(b.path or ()), 12) / 12 for b in flat]
     f[:, 7] = 1
+    f[:, 8] = np.log1p([len(_ENDS.findall(b.text)) for b in flat]) / 3
+    f[:, 9] = 10 * np.array([len(_COMMAS.findall(b.text)) for b in flat]) / np.maximum(weight, 10)
+    f[:, 10] = np.array([len(_DIGITS.findall(b.text)) for b in flat]) / chars
+    parts: dict[Path, tuple[bool, bool]] = {}
+    f[:, 11:13] = [_parts(b.path, parts) for b in flat]
+    f[:, 13] = [b.path is not None and b.path.name.split(".", 1)[0] in _HEADS for b in flat]
+    edges = np.concatenate([[0], np.cumsum([len(p) for p in pages])])
+    for p, a, z in zip(pages, edges, edges[1:], strict=False):
+        if len(p):
+            f[a:z, 14:18] = _shares(p, weight[a:z])
     return out
 
 

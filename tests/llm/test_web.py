@@ -144,3 +144,29 @@ def test_extraction_of_repeated_rows_and_empty_tables(spark):
     got = [tuple(r) for r in extract(spark.createDataFrame(rows, kind)).collect()]
     assert len(got) == 4 and got.count(next(r for r in got if r[0] == 1)) == 2 and {r[3] for r in got if r[0] != 1} == {0}
     assert extract(spark.createDataFrame([], kind)).collect() == []
+
+
+def test_pages_written_by_hand():
+    """Layouts that the training pages do not copy: encyclopedia, papers, blogs, tables, letters, in seven languages."""
+    from tests.llm.pages_by_hand import PAGES, labelled
+
+    right = n = 0
+    for page in PAGES.values():
+        plain, want = labelled(page)
+        found = blocks(plain)
+        assert [b.text for b in found] == [t for t, _ in want]
+        got = trained().label([found])[0]
+        right, n = right + sum(bool(g) == w for g, (_, w) in zip(got, want, strict=True)), n + len(want)
+    assert right / n >= 0.9
+    by_block, by_page = train_labeller.accuracy(trained(), 70_000_000, 150, train_labeller.Wild)
+    assert by_block > 0.99 and by_page > 0.9
+
+
+def test_text_of_formulas_and_fallbacks_is_kept():
+    said = lambda page: [b.text for b in blocks(page)]
+    assert said("<p>with <math>x=2</math> inside") == ["with x=2 inside"]
+    assert said("<p><math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>") == ["x=2"]
+    assert said("<p>a<noscript><p>b</p></noscript><video src=v>c</video><object>d</object>") == ["a", "b", "cd"]
+    assert said("<p>a<textarea>never closed<p>b<iframe>c") == ["a never closed", "b c"]
+    assert said("<p>a<script>never closed<p>b") == ["a"]
+    assert len(said("<p>x<textarea>" * 20_000)) == 20_000
