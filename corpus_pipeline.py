@@ -16,7 +16,7 @@ from foliospark.llm.mixing import sampled
 from foliospark.llm.ngram_join import one_of_each
 from foliospark.llm.packing import pack
 from foliospark.llm.quality import Limits, Rules
-from foliospark.llm.shared import bounded_batches, shared_dir
+from foliospark.llm.shared import bounded_batches, shared_dir, write_once
 from foliospark.llm.substring import SENT, remove_repeats
 
 #: No SQL expresses BPE ids and the packing plan; tests hold the stages against brute force.
@@ -69,6 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        write_once(stage(spark, docs, sf_dir), f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
     return docs

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 
 ROWS = 500
-RELEASE_SECONDS = 0.5
+RELEASE_SECONDS = 3.0
 _RELEASED = [0.0]
+#: Spark's own setting: the shuffle files of an execution go when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,15 +45,27 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ROWS)
 
 
+def write_once(df: DataFrame, path: str, **options: str) -> None:
+    """Write Parquet from a plan that nothing runs again: Spark drops its shuffle files
+    when the write ends. Queries of the caller keep theirs."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.set(CLEAN, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Losing executors loses none of it, and shuffle files of the finished part can go.
+    Losing executors loses none of it.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    write_once(df, path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     release(spark)
@@ -68,7 +82,8 @@ def done_with(*frames: DataFrame | None) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files to which nothing refers any more.
+    """Let Spark's cleaner drop what nothing refers to any more: shuffle files of counts
+    and looks at single rows, broadcasts.
 
     That takes a collection on the driver, so not for steps of less than RELEASE_SECONDS.
     """
