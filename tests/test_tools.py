@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import tables
 from foliospark.operators.blocks import outline, search, section_text
 from foliospark.operators.chunks import chunk
-from foliospark.operators.runner import RESULT, Engine, run_engine, run_engines, run_one
+from foliospark.operators.runner import RESULT, Engine, run_engine, run_engines, run_one, run_rows
 from foliospark.plans.registry import conversation_blocks
 
 BLOCKS = "doc_id string, ord int, kind string, level int, page int, text string, more int"
@@ -96,3 +96,25 @@ def test_work_done_is_not_done_again(spark):
     got = Counter((r.engine, r.id, r.status) for r in run_engines(docs, [ENGINE, other], done).collect())
     assert got == {("odd", "1", "ok"): 1, ("odd", "3", "ok"): 1, ("other", "2", "ok"): 2, ("other", "3", "ok"): 1}
     assert run_engine(docs.where("id > 9"), ENGINE).collect() == [] and len(RESULT.split(",")) == 8
+
+
+def test_calls_that_hang_wait_together(spark):
+    """Ten hanging rows of one task cost about one time limit; the rows among them are not lost."""
+    docs = spark.createDataFrame([(i, "txt", "hang" if i % 2 else "fine") for i in range(20)], "id int, format string, content string").coalesce(1)
+    began = time.perf_counter()
+    got = Counter(r.status for r in run_engine(docs, ENGINE).collect())
+    assert got == {"ok": 10, "timeout": 10} and time.perf_counter() - began < 8
+
+
+def burning(kind: str, text: str) -> str:
+    """Computes for some time of its own."""
+    began = time.process_time()
+    while time.process_time() - began < 0.3:
+        pass
+    return str(os.getpid())
+
+
+def test_calls_that_compute_do_not_share_time():
+    out = list(run_rows(Engine("busy", burning, ("txt",), seconds=3.0), [(i, "txt", "x") for i in range(12)]))
+    assert [o[0] for _, o in out] == ["ok"] * 12 and {o[3] for _, o in out} != {str(os.getpid())}
+    assert sorted(r for r, _ in out) == list(range(12)) and max(o[1] for _, o in out) < 1.5
