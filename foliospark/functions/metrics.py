@@ -100,17 +100,42 @@ def number_stats(p: Column, t: Column) -> Column:
     )
 
 
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once, however often ``fn`` names it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def alike(p: Column, t: Column) -> Column:
+    """``similarity`` where it is at least HEADING_MATCH, else null: distances beyond that are not worked out."""
+    a, b = F.left(p, F.lit(MOST_CHARS)), F.left(t, F.lit(MOST_CHARS))
+    longer = F.greatest(F.length(a), F.length(b))
+    most = F.floor(longer * (1 - HEADING_MATCH)).cast("int") + 1
+    far = F.abs(F.length(a) - F.length(b)) > most
+    distance = F.when(a == b, 0).when(~far, F.call_function("levenshtein", a, b, most))
+    s = F.when(longer == 0, 1.0).when(distance >= 0, 1 - distance / longer)
+    return F.when(s >= HEADING_MATCH, s)
+
+
 def heading_tp(pred: Column, truth: Column) -> Column:
-    """Greedy one-to-one matches: each heading takes the most similar free truth heading."""
+    """Greedy one-to-one matches: each heading takes the most similar free truth heading.
+
+    The pairs that may match are found first, each once; only these are gone through then.
+    """
 
-    def step(state: Column, p: Column) -> Column:
-        scored = F.transform(state["free"], lambda t, i: F.struct(similarity(p, t).alias("s"), (-i).alias("i")))
-        best = F.array_max(scored)
-        hit = F.coalesce(best["s"] >= HEADING_MATCH, F.lit(False))
-        left = F.filter(state["free"], lambda _, i: i != -best["i"])
-        return F.struct(F.when(hit, left).otherwise(state["free"]).alias("free"), (state["tp"] + hit.cast("int")).alias("tp"))
+    def near(p: Column) -> Column:
+        scored = F.transform(truth, lambda t, i: F.struct(alike(p, t).alias("s"), (-i).alias("i")))
+        return F.filter(scored, lambda x: x["s"].isNotNull())
 
-    return F.aggregate(pred, F.struct(truth.alias("free"), F.lit(0).alias("tp")), step, lambda s: s["tp"])
+    def take(state: Column, best: Column) -> Column:
+        hit = best.isNotNull()
+        return F.struct(F.when(hit, F.array_append(state["used"], best["i"])).otherwise(state["used"]).alias("used"), (state["tp"] + hit.cast("int")).alias("tp"))
+
+    def step(state: Column, found: Column) -> Column:
+        free = F.filter(found, lambda x: ~F.array_contains(state["used"], x["i"]))
+        return _let(F.array_max(free), lambda best: take(state, best))
+
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("tp"))
+    return F.aggregate(F.filter(F.transform(pred, near), lambda found: F.size(found) > 0), start, step, lambda s: s["tp"])
 
 
 def heading_f1(pred: str | Column, truth: str | Column) -> Column:
@@ -119,9 +144,12 @@ def heading_f1(pred: str | Column, truth: str | Column) -> Column:
 
 def heading_score(pred: Column, truth: Column) -> Column:
     """As ``heading_f1``, for normalised headings (columns: lambdas read them once for each element)."""
-    tp = heading_tp(pred, truth)
-    p = precision(tp, F.size(pred) - tp, F.size(truth) - tp)
-    return F.when((F.size(pred) == 0) & (F.size(truth) == 0), 1.0).otherwise(f_score(p, recall(tp, F.size(truth) - tp)))
+
+    def scored(tp: Column) -> Column:
+        p = precision(tp, F.size(pred) - tp, F.size(truth) - tp)
+        return F.when((F.size(pred) == 0) & (F.size(truth) == 0), 1.0).otherwise(f_score(p, recall(tp, F.size(truth) - tp)))
+
+    return _let(heading_tp(pred, truth), scored)
 
 
 def kendall(positions: Column) -> Column:
