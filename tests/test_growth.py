@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliospark.functions.metrics import heading_tp
+from foliospark.functions.rowwise import OUT_READ, OUT_ROWS, pieces
 from foliospark.plans import catalog
+from foliospark.sources.parse import html_nodes
 
 
 def _distance(a: str, b: str) -> int:
@@ -58,3 +61,19 @@ def test_titles_decode_what_their_sql_decodes(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     want = {0: "one && two&amp", 1: "a = &quot;73 <b> &lt; &amp;", 2: "two lines &#65; &copy", 3: None}
     assert {r.doc_id: r.title for r in catalog.QUERIES["q_html_titles"](spark, str(tmp_path)).collect()} == want
+
+
+def test_results_of_a_full_batch_leave_in_pieces(spark):
+    made: list[int] = []
+    batch = (pa.array(map(str, range(10_000))), pa.array([b"x" * 10] * 10_000))
+    out = []
+    for part in pieces(lambda a, b: made.append(1) or f"{a}{len(b)}", pa.string(), [batch, ([], []), (pa.array([None, "y"]), pa.array([b"", b"z" * OUT_READ]))]):
+        assert len(part) <= OUT_ROWS and len(made) <= len(out) + OUT_ROWS
+        out += part.to_pylist()
+    assert out == [f"{i}10" for i in range(10_000)] + ["None0", f"y{OUT_READ}"]
+
+
+def test_pages_of_a_full_batch_keep_their_nodes(spark):
+    pages = spark.range(0, 9000, 1, 1).select(F.col("id").alias("page_id"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("<p>p"), "id", F.lit("<ul><li>x</ul>"))).alias("html"))
+    got = html_nodes(pages).groupBy("type").agg(F.count("*").alias("n"), F.count_if((F.col("type") == "list") | (F.col("content") == F.concat(F.lit("p"), "doc_id"))).alias("own")).collect()
+    assert {r.type: (r.n, r.own) for r in got} == {"paragraph": (7200, 7200), "list": (7200, 7200)}
