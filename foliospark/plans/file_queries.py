@@ -6,10 +6,11 @@ tables themselves are the reference.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from foliospark.functions.rowwise import by_row
 from foliospark.operators.block_table import BlockTable
 from foliospark.operators.blocks import line_blocks
 from foliospark.operators.evaluate import markdown_table
@@ -92,10 +93,6 @@ def q_sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("path", sniffed(F.col("path"), F.col("content")).alias("kind"))
 
 
-def _decoded(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: None if b is None else decode(bytes(b)))
-
-
 @query("q_decode", "SELECT page_id, length(html) AS n_chars, md5(html) AS digest FROM pages")
 def q_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages in UTF-8 without and with a mark, and in UTF-16 of both orders."""
@@ -104,7 +101,7 @@ def q_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = marked[0]
     for i, form in enumerate(marked[1:], 1):
         raw = F.when(F.col("page_id") % len(marked) == i, form).otherwise(raw)
-    got = table(spark, sf_dir, "pages").select("page_id", F.pandas_udf(_decoded, "string")(raw).alias("html"))
+    got = table(spark, sf_dir, "pages").select("page_id", by_row(lambda b: None if b is None else decode(b), T.StringType())(raw).alias("html"))
     return got.select("page_id", F.length("html").cast("long").alias("n_chars"), F.md5(F.encode("html", "UTF-8")).alias("digest"))
 
 
