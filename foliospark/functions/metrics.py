@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import cjk_ratio, col, edit_distance, norm_text, numbers, token_distance, tokens
+from foliospark.functions.text import cjk_ratio, col, edit_distance, let, norm_text, numbers, token_distance, tokens
 
 #: Characters and words that similarity looks at, at most; the heading match.
 MOST_CHARS = 400_000
@@ -73,9 +73,12 @@ def shared_count(a: Column, b: Column) -> Column:
 
 def multiset_f1(pred: Column, truth: Column) -> Column:
     """F score of the multiset intersection; 1 when both are empty."""
-    tp = shared_count(pred, truth)
-    p = precision(tp, F.size(pred) - tp, F.size(truth) - tp)
-    return F.when((F.size(pred) == 0) & (F.size(truth) == 0), 1.0).otherwise(f_score(p, recall(tp, F.size(truth) - tp)))
+
+    def scored(tp: Column) -> Column:
+        p = precision(tp, F.size(pred) - tp, F.size(truth) - tp)
+        return F.when((F.size(pred) == 0) & (F.size(truth) == 0), 1.0).otherwise(f_score(p, recall(tp, F.size(truth) - tp)))
+
+    return let(shared_count(pred, truth), scored)
 
 
 def cell_f1(pred: Column, truth: Column) -> Column:
@@ -91,18 +94,17 @@ def digit_stats(pred: str | Column, truth: str | Column) -> Column:
 
 def number_stats(p: Column, t: Column) -> Column:
     """As ``digit_stats``, for arrays of numbers (columns: lambdas read them once for each element)."""
-    tp, n_p, n_t = shared_count(p, t), F.size(p), F.size(t)
-    prec = F.when(n_p > 0, tp / n_p).when(n_t == 0, 1.0).otherwise(0.0)
-    rec = F.when(n_t > 0, tp / n_t).when(n_p == 0, 1.0).otherwise(0.0)
-    return F.struct(
-        F.bround(f_score(prec, rec), 4).alias("digit_f1"), F.bround(prec, 4).alias("digit_precision"), F.bround(rec, 4).alias("digit_recall"),
-        n_t.alias("digit_n_truth"), n_p.alias("digit_n_pred"),
-    )
+    n_p, n_t = F.size(p), F.size(t)
 
+    def scored(tp: Column) -> Column:
+        prec = F.when(n_p > 0, tp / n_p).when(n_t == 0, 1.0).otherwise(0.0)
+        rec = F.when(n_t > 0, tp / n_t).when(n_p == 0, 1.0).otherwise(0.0)
+        return F.struct(
+            F.bround(f_score(prec, rec), 4).alias("digit_f1"), F.bround(prec, 4).alias("digit_precision"), F.bround(rec, 4).alias("digit_recall"),
+            n_t.alias("digit_n_truth"), n_p.alias("digit_n_pred"),
+        )
 
-def _let(value: Column, fn) -> Column:
-    """``fn`` of a value that is worked out once, however often ``fn`` names it."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
+    return let(shared_count(p, t), scored)
 
 
 def alike(p: Column, t: Column) -> Column:
@@ -132,7 +134,7 @@ def heading_tp(pred: Column, truth: Column) -> Column:
 
     def step(state: Column, found: Column) -> Column:
         free = F.filter(found, lambda x: ~F.array_contains(state["used"], x["i"]))
-        return _let(F.array_max(free), lambda best: take(state, best))
+        return let(F.array_max(free), lambda best: take(state, best))
 
     start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("tp"))
     return F.aggregate(F.filter(F.transform(pred, near), lambda found: F.size(found) > 0), start, step, lambda s: s["tp"])
@@ -149,7 +151,7 @@ def heading_score(pred: Column, truth: Column) -> Column:
         p = precision(tp, F.size(pred) - tp, F.size(truth) - tp)
         return F.when((F.size(pred) == 0) & (F.size(truth) == 0), 1.0).otherwise(f_score(p, recall(tp, F.size(truth) - tp)))
 
-    return _let(heading_tp(pred, truth), scored)
+    return let(heading_tp(pred, truth), scored)
 
 
 def kendall(positions: Column) -> Column:

@@ -63,6 +63,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is worked out once, however often ``fn`` names it (inside lambdas too)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def squeeze(c: str | Column) -> Column:
     """Unicode white space made single and stripped."""
     return F.regexp_replace(F.regexp_replace(col(c), r"(?U)\s+", " "), "^ | $", "")
@@ -229,12 +234,22 @@ def token_distance(a: Column, b: Column) -> Column:
     return _distance(_letters, a, b)
 
 
+#: Numbers that are canonical as they stand.
+PLAIN_NUMBER = r"^(?:0|[1-9][0-9]*)$"
+
+
 def canon_number(c: str | Column) -> Column:
     """A number string in canonical form, or null: see the number rules in the README."""
-    tok = F.translate(col(c), "０１２３４５６７８９．，－＋％", "0123456789.,-+%")
-    neg = tok.rlike(r"^[-−–—]")
+    return let(col(c), lambda x: F.when(x.rlike(PLAIN_NUMBER), x).otherwise(let(F.translate(x, "０１２３４５６７８９．，－＋％", "0123456789.,-+%"), _canon)))
+
+
+def _canon(tok: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(tok, r"^[+\-−–—]+", ""), r"['  ]", "")
-    body = F.regexp_replace(body, r"[.,]+$", "")
+    return let(F.regexp_replace(body, r"[.,]+$", ""), lambda b: let(_pointed(b), lambda plain: _signed(tok, b, plain)))
+
+
+def _pointed(body: Column) -> Column:
+    """Digits with a decimal point or none."""
     has_c, has_d = F.contains(body, F.lit(",")), F.contains(body, F.lit("."))
     last = F.regexp_extract(body, r"([.,])[^.,]*$", 1)
     drop = lambda x, s: F.replace(x, F.lit(s), F.lit(""))
@@ -243,10 +258,15 @@ def canon_number(c: str | Column) -> Column:
     both = F.when(last == ",", F.replace(drop(body, "."), F.lit(","), F.lit("."))).otherwise(drop(body, ","))
     comma = F.when((commas > 1) | (F.length(F.substring_index(body, ",", -1)) == 3), drop(body, ",")).otherwise(F.replace(body, F.lit(","), F.lit(".")))
     dot = F.when(dots > 1, drop(body, ".")).otherwise(body)
-    plain = F.when(has_c & has_d, both).when(has_c, comma).when(has_d, dot).otherwise(body)
+    return F.when(has_c & has_d, both).when(has_c, comma).when(has_d, dot).otherwise(body)
+
+
+def _signed(tok: Column, body: Column, plain: Column) -> Column:
+    """Without zeros that say nothing, with its sign; null where it is no number."""
     short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    short = F.regexp_replace(short, r"^0+(?=\d)", "")
-    return F.when(body.rlike(r"^\d") & plain.rlike(r"^\d+(\.\d+)?$"), F.when(neg & (short != "0"), F.concat(F.lit("-"), short)).otherwise(short))
+    minus = tok.rlike(r"^[-−–—]")
+    whole = let(F.regexp_replace(short, r"^0+(?=\d)", ""), lambda x: F.when(minus & (x != "0"), F.concat(F.lit("-"), x)).otherwise(x))
+    return F.when(body.rlike(r"^\d") & plain.rlike(r"^\d+(\.\d+)?$"), whole)
 
 
 def numbers(c: str | Column) -> Column:
