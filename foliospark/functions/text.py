@@ -127,10 +127,13 @@ def list_paragraph_flags(items: str | Column) -> Column:
     Judged over the whole list: two or more numbered items, one of them long.
     """
     flat = F.transform(items, lambda x: strip(F.coalesce(x, F.lit(""))))
-    marked = F.transform(flat, lambda x: x.rlike(NUMBERED_ITEM))
-    enough = F.size(F.filter(marked, lambda m: m)) >= 2
-    long_ = F.exists(F.transform(flat, lambda x: x.rlike(NUMBERED_ITEM) & (F.length(x) > LONG_ITEM)), lambda m: m)
-    return F.transform(marked, lambda m: m & enough & long_)
+    marks = F.transform(flat, lambda x: F.when(x.rlike(NUMBERED_ITEM), F.length(x) > LONG_ITEM))  # null: not numbered
+
+    def flags(marked: Column) -> Column:
+        numbered = F.size(F.filter(marked, lambda m: m.isNotNull())) >= 2
+        return let(numbered & F.exists(marked, lambda m: F.coalesce(m, F.lit(False))), lambda yes: F.transform(marked, lambda m: m.isNotNull() & yes))
+
+    return let(marks, flags)
 
 
 def heading_is_noise(c: str | Column) -> Column:

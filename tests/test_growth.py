@@ -8,8 +8,9 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from foliospark.functions.metrics import heading_tp
+from foliospark.functions.metrics import heading_tp, number_stats
 from foliospark.functions.rowwise import OUT_READ, OUT_ROWS, pieces
+from foliospark.functions.text import list_paragraph_flags, numbers
 from foliospark.plans import catalog
 from foliospark.sources.parse import html_nodes
 
@@ -77,3 +78,19 @@ def test_pages_of_a_full_batch_keep_their_nodes(spark):
     pages = spark.range(0, 9000, 1, 1).select(F.col("id").alias("page_id"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("<p>p"), "id", F.lit("<ul><li>x</ul>"))).alias("html"))
     got = html_nodes(pages).groupBy("type").agg(F.count("*").alias("n"), F.count_if((F.col("type") == "list") | (F.col("content") == F.concat(F.lit("p"), "doc_id"))).alias("own")).collect()
     assert {r.type: (r.n, r.own) for r in got} == {"paragraph": (7200, 7200), "list": (7200, 7200)}
+
+
+def test_flags_of_a_long_list_are_found_in_time(spark):
+    items = [f"({i % 900}) {'word ' * (i % 30)}" if i % 2 else f"item {i}" for i in range(6000)]
+    began = time.perf_counter()
+    df = spark.createDataFrame([(items,), (["(1) a", None, "(2) b"],), (["(1) " + "x" * 90, None],), ([],), (None,)], "items array<string>")
+    got = [r.f for r in df.select(list_paragraph_flags("items").alias("f")).collect()]
+    assert got == [[i % 2 == 1 for i in range(6000)], [False] * 3, [False] * 2, [], None] and time.perf_counter() - began < 20
+
+
+def test_scores_of_many_numbers_are_found_in_time(spark):
+    said = " ; ".join(f"no {i % 97}, {i:,d}.50 x" for i in range(3000))
+    began = time.perf_counter()
+    df = spark.createDataFrame([(said, said)], "p string, t string").select(numbers("p").alias("p"), numbers("t").alias("t"))
+    s = df.select(number_stats(F.col("p"), F.col("t")).alias("s")).first().s
+    assert (s.digit_f1, s.digit_n_truth) == (1.0, 6000) and time.perf_counter() - began < 20
