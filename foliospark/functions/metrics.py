@@ -141,7 +141,7 @@ def heading_tp(pred: Column, truth: Column) -> Column:
 
 
 def heading_f1(pred: str | Column, truth: str | Column) -> Column:
-    return heading_score(F.transform(col(pred), norm_text), F.transform(col(truth), norm_text))
+    return let(F.transform(col(pred), norm_text), lambda p: let(F.transform(col(truth), norm_text), lambda t: heading_score(p, t)))
 
 
 def heading_score(pred: Column, truth: Column) -> Column:
@@ -156,15 +156,16 @@ def heading_score(pred: Column, truth: Column) -> Column:
 
 def kendall(positions: Column) -> Column:
     """Kendall's tau of an array of positions against its own order; ties do not count."""
-    n = F.size(positions)
-    pair = F.transform(
-        positions, lambda x, i: F.aggregate(F.slice(positions, i + 2, F.greatest(n - i - 1, F.lit(0))), F.lit(0).cast("double"), lambda s, y: s + F.signum((y - x).cast("double")))
-    )
-    total = F.transform(
-        positions, lambda x, i: F.aggregate(F.slice(positions, i + 2, F.greatest(n - i - 1, F.lit(0))), F.lit(0).cast("double"), lambda s, y: s + F.abs(F.signum((y - x).cast("double"))))
-    )
     add = lambda a: F.aggregate(a, F.lit(0).cast("double"), lambda s, x: s + x)
-    return F.when(n < 2, None).when(add(total) == 0, 1.0).otherwise(add(pair) / add(total))
+
+    def signs(xs: Column) -> Column:
+        """Signs of the pairs of each place with the later ones: their sum, and how many are not 0."""
+        later = lambda i: F.slice(xs, i + 2, F.greatest(F.size(xs) - i - 1, F.lit(0)))
+        both = F.transform(xs, lambda x, i: F.transform(later(i), lambda y: F.signum((y - x).cast("double"))))
+        return let(F.transform(both, lambda r: F.struct(add(r).alias("s"), add(F.transform(r, F.abs)).alias("n"))), lambda rs: F.struct(add(rs["s"]).alias("s"), add(rs["n"]).alias("n")))
+
+    tau = lambda t: F.when(t["n"] == 0, 1.0).otherwise(t["s"] / t["n"])
+    return let(positions, lambda xs: F.when(F.size(xs) >= 2, let(signs(xs), tau)))
 
 
 def anchors(plain: Column, paragraphs: Column) -> Column:

@@ -8,7 +8,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from foliospark.functions.metrics import heading_tp, number_stats
+from foliospark.functions.metrics import heading_tp, kendall, number_stats
 from foliospark.functions.rowwise import OUT_READ, OUT_ROWS, pieces
 from foliospark.functions.text import list_paragraph_flags, numbers
 from foliospark.plans import catalog
@@ -94,3 +94,10 @@ def test_scores_of_many_numbers_are_found_in_time(spark):
     df = spark.createDataFrame([(said, said)], "p string, t string").select(numbers("p").alias("p"), numbers("t").alias("t"))
     s = df.select(number_stats(F.col("p"), F.col("t")).alias("s")).first().s
     assert (s.digit_f1, s.digit_n_truth) == (1.0, 6000) and time.perf_counter() - began < 20
+
+
+def test_order_of_many_paragraphs(spark):
+    xs = random.Random(8).choices(range(400), k=600)
+    pairs = [(y > x) - (y < x) for i, x in enumerate(xs) for y in xs[i + 1 :]]
+    df = spark.createDataFrame([(xs,), ([3, 3],), ([1],), ([],)], "xs array<int>")
+    assert [r.t for r in df.select(F.round(kendall(F.col("xs")), 9).alias("t")).collect()] == [round(sum(pairs) / sum(map(abs, pairs)), 9), 1.0, None, None]
