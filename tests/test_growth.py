@@ -101,3 +101,11 @@ def test_order_of_many_paragraphs(spark):
     pairs = [(y > x) - (y < x) for i, x in enumerate(xs) for y in xs[i + 1 :]]
     df = spark.createDataFrame([(xs,), ([3, 3],), ([1],), ([],)], "xs array<int>")
     assert [r.t for r in df.select(F.round(kendall(F.col("xs")), 9).alias("t")).collect()] == [round(sum(pairs) / sum(map(abs, pairs)), 9), 1.0, None, None]
+
+
+def test_cells_are_counted_without_a_join(spark, tmp_path):
+    rows = [(1, 10.0), (1, 10.0), (1, 50.0), (1, None), (2, None), (3, 7.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = catalog.QUERIES["q_cell_f1"](spark, str(tmp_path))
+    assert {r.doc_id: r.f1 for r in df.collect()} == {1: 0.5, 2: 0.0, 3: 1.0}  # null cells match nothing
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
