@@ -222,6 +222,8 @@ def q_tidy_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy_html(table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<li>"), F.lit("<li>▪ ")).alias("html")), "page_id")
 
 
+#: Lines and bytes are counted piece by piece, whatever the files' size.
+_PIECE = 1 << 20
 _FOLDER = "SELECT lang, count(*) AS n, CAST(sum(octet_length(encode(replace(coalesce(text, ''), chr(10), ' '))) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang"
 
 
@@ -243,7 +245,7 @@ def q_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark, "document-files")
     _as_files(spark, sf_dir).drop("doc_id").write.partitionBy("lang").text(root)
     register(spark)
-    found = spark.read.format("document_files").option("supported", "false").schema("path string, size long, content binary").load(root)
+    found = spark.read.format("document_files").option("supported", "false").option("pieceBytes", _PIECE).schema("path string, size long, content binary").load(root)
     return _in_folders(found.where(F.col("path").endswith(".txt") & (F.col("size") > 0)))
 
 
@@ -255,7 +257,7 @@ def q_document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _as_files(spark, sf_dir)
     for half in (0, 1):
         texts.where(F.pmod("doc_id", F.lit(2)) == half).drop("doc_id").write.mode("append").partitionBy("lang").text(f"{root}/in")
-        stream = spark.readStream.format("document_files").option("supported", "false").option("lagSeconds", "0").load(f"{root}/in").where("ext = 'txt'")
+        stream = spark.readStream.format("document_files").option("supported", "false").option("lagSeconds", "0").option("pieceBytes", _PIECE).load(f"{root}/in").where("ext = 'txt'")
         run = stream.select("path", "content").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     return _in_folders(spark.read.schema("path string, content binary").parquet(f"{root}/out"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators.block_table import BlockTable
 from foliospark.operators.blocks import line_blocks
+from foliospark.plans import file_queries
 from foliospark.sources import document_files
 from foliospark.sources.parse import parse_documents
 
@@ -58,6 +59,46 @@ def test_files_are_opened_only_for_their_content(spark, folder):
     assert [sum(f.size for f in p.files) <= 60 or len(p.files) == 1 for p in parts] == [True] * len(parts) and len(parts) > 2
 
 
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i:02}.txt").write_bytes(bytes([65 + i]) * (1 << 20))
+    schema = spark.createDataFrame([], "path string, content binary").schema
+    reader = document_files.FileReader({"path": str(tmp_path), "supported": "false"}, schema)
+    assert len(reader.partitions()) == 1
+    sizes = [b.nbytes for p in reader.partitions() for b in reader.read(p)]
+    assert len(sizes) > 1 and max(sizes) <= document_files.OUT_BYTES + (1 << 20)
+
+
+def test_pieces_are_the_whole_files(spark, tmp_path):
+    document_files.register(spark)
+    texts = {"a.txt": "é\n日".encode() * 333, "b.txt": b"", "c.txt": b"x" * 100, "d.txt": b"y" * 101}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    pieces = _read(spark, tmp_path, supported="false", pieceBytes=10, partitionBytes=100)
+    assert pieces.columns == ["path", "ext", "mtime", "size", "content", "start"]
+    got = {}
+    for r in pieces.orderBy("path", "start").collect():
+        at = got.setdefault(r.path.rsplit("/", 1)[1], bytearray())
+        assert r.start == len(at) and len(r.content) <= 10 and r.size == len(texts[r.path.rsplit("/", 1)[1]])
+        at += r.content
+    assert got == texts
+    reader = document_files.FileReader({"path": str(tmp_path), "supported": "false", "pieceBytes": "10", "partitionBytes": "100"}, pieces.schema)
+    assert max(sum(f.length for f in p.files) for p in reader.partitions()) == 100 and len(reader.partitions()) > 20
+    assert pieces.select("path").count() == sum(max(1, -(-len(t) // 10)) for t in texts.values())
+
+
+def test_the_files_of_the_query_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    rows = [(1, "a\nb" * 700_000, "en"), (2, "日本" * 400_000, "en"), (3, None, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    lengths, count = [], file_queries._in_folders
+    monkeypatch.setattr(file_queries, "_in_folders", lambda files: lengths.extend(r[0] for r in files.select(F.length("content")).collect()) or count(files))
+    for query in (file_queries.q_document_files, file_queries.q_document_stream):
+        lengths.clear()
+        got = {(r.lang, r.n, r.bytes) for r in query(spark, str(tmp_path)).collect()}
+        assert got == {("en", 2, 2_100_000 + 2_400_000 + 2), ("de", 1, 1)}
+        assert max(lengths) <= 1 << 20 and sum(lengths) == 4_500_003
+
+
 def test_rows_go_to_the_parsers(spark, folder):
     got = parse_documents(_read(spark, folder).where("ext in ('html', 'htm')")).select("path", F.size("nodes").alias("n"), "error").collect()
     assert {r.path.rsplit("/", 1)[1]: r.n for r in got} == {"a.html": 1, "b.HTM": 9, "c.html": 1} and all(r.error is None for r in got)
