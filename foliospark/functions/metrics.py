@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import cjk_ratio, col, edit_distance, let, norm_text, numbers, token_distance, tokens
 
-#: Characters and words that similarity looks at, at most; the heading match.
-MOST_CHARS = 400_000
+#: The heading match; the beginning of a paragraph that is looked for, and the least of it.
 HEADING_MATCH = 0.85
 ANCHOR, ANCHOR_LEAST = 40, 12
 
 
 def similarity(a: Column, b: Column) -> Column:
     """1 - distance / longer length of two plain strings."""
-    a, b = F.left(a, F.lit(MOST_CHARS)), F.left(b, F.lit(MOST_CHARS))
     longer = F.greatest(F.length(a), F.length(b))
     return F.when(longer == 0, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
@@ -27,9 +25,8 @@ def char_sim(pred: str | Column, truth: str | Column) -> Column:
 
 def plain_sim(p: Column, t: Column) -> Column:
     """As ``similarity``, for long normalised texts."""
-    a, b = F.left(p, F.lit(MOST_CHARS)), F.left(t, F.lit(MOST_CHARS))
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - edit_distance(a, b) / longer)
+    longer = F.greatest(F.length(p), F.length(t))
+    return F.when(longer == 0, 1.0).when((F.length(p) == 0) | (F.length(t) == 0), 0.0).otherwise(1 - edit_distance(p, t) / longer)
 
 
 def cer(pred: str | Column, truth: str | Column) -> Column:
@@ -107,9 +104,8 @@ def number_stats(p: Column, t: Column) -> Column:
     return let(shared_count(p, t), scored)
 
 
-def alike(p: Column, t: Column) -> Column:
+def alike(a: Column, b: Column) -> Column:
     """``similarity`` where it is at least HEADING_MATCH, else null: distances beyond that are not worked out."""
-    a, b = F.left(p, F.lit(MOST_CHARS)), F.left(t, F.lit(MOST_CHARS))
     longer = F.greatest(F.length(a), F.length(b))
     most = F.floor(longer * (1 - HEADING_MATCH)).cast("int") + 1
     far = F.abs(F.length(a) - F.length(b)) > most

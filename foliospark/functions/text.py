@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foliospark.functions.edits import distance
+from foliospark.functions.rowwise import by_row
 
 # Code point ranges and patterns that results depend on.
 WIDE_CLASS = r"[一-鿿　-〿]"
@@ -186,55 +189,14 @@ def tokens(c: str | Column) -> Column:
     return F.regexp_extract_all(col(c), F.lit(rf"(?U)([{CJK_TOKEN}]|[^\s{CJK_TOKEN}]+)"), F.lit(1))
 
 
-def middle(a: str, b: str) -> tuple[str, str]:
-    """Both strings without their common beginning and end: their distance stays the same."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:  # the longest common beginning, by halving
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
-    a, b = a[low:], b[low:]
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[len(a) - mid :] == b[len(b) - mid :] else (low, mid - 1)
-    return a[: len(a) - low], b[: len(b) - low]
-
-
-def _middles(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for a, b in batches:
-        yield pd.DataFrame([(None, None) if x is None or y is None else middle(x, y) for x, y in zip(a, b, strict=True)], columns=["a", "b"])
-
-
-def _letters(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """A letter for each distinct word (no surrogates), then as ``_middles``."""
-    for a, b in batches:
-        rows = []
-        for x, y in zip(a, b, strict=True):
-            if x is None or y is None:
-                rows.append((None, None))
-                continue
-            place: dict[str, str] = {}
-            for w in (*x, *y):
-                n = 0x4E00 + len(place)
-                place.setdefault(w, chr(n if n < 0xD800 else n + 0x800))
-            rows.append(middle("".join(map(place.get, x)), "".join(map(place.get, y))))
-        yield pd.DataFrame(rows, columns=["a", "b"])
-
-
-def _distance(prepare, a: Column, b: Column) -> Column:
-    fn: Callable[[Iterator[tuple[pd.Series, pd.Series]]], Iterator[pd.DataFrame]] = prepare
-    both = F.pandas_udf(fn, "a string, b string")(a, b)
-    return F.levenshtein(both["a"], both["b"])
-
-
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two long texts that may have much in common."""
-    return _distance(_middles, a, b)
+    """Levenshtein distance of two texts of any length."""
+    return by_row(distance, T.IntegerType())(a, b)
 
 
 def token_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance between two arrays of words."""
-    return _distance(_letters, a, b)
+    return by_row(distance, T.IntegerType())(a, b)
 
 
 #: Numbers that are canonical as they stand.

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
+from foliospark.functions import edits
+from foliospark.functions.metrics import heading_f1
+from foliospark.functions.text import token_distance
 from foliospark.operators.corpus import round_robin
 from foliospark.plans import catalog
 from foliospark.plans.registry import conversation_blocks
@@ -55,3 +62,41 @@ def test_chosen_rows_count_against_the_budget(spark):
     more = {r.id for r in round_robin(rows, "format", budget=10, chosen=chosen).collect()}
     assert len(more) == 6 and not more & set(sorted(first)[:4])
     assert round_robin(rows, "format", budget=3, chosen=chosen).count() == 0
+
+
+def test_scores_of_documents_see_whole_texts(spark, tmp_path):
+    parts = [" ".join(f"w{i * 800 + k}" for k in range(800)) for i in range(80)]
+    items = [f"item{i}" for i in range(3000)]
+    html = "<h1>long page</h1>" + "".join(f"<p>{p}</p>" for p in parts)
+    pages = [(1, html + "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"), (2, html)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.id: r for r in catalog.QUERIES["q_score_documents"](spark, str(tmp_path)).select("id", "char_sim", "cer", "order_tau", "heading_f1").collect()}
+    truth = len("long page ") + len(" ".join(parts))
+    more = len(" " + " ".join(items))
+    assert truth > 400_000 and abs(got["1"].char_sim - (1 - more / (truth + more))) < 1e-12 and abs(got["1"].cer - 3000 / (2 + 80 * 800)) < 1e-12
+    assert got["2"].char_sim == 1.0 and got["2"].cer == 0.0 and all(r.order_tau == r.heading_f1 == 1.0 for r in got.values())
+
+
+def test_headings_are_compared_whole(spark):
+    same = "x" * 400_000
+    df = spark.createDataFrame([([same + "y" * 100_000], [same]), ([same + "y"], [same + "y"])], "p array<string>, t array<string>")
+    assert [r.f for r in df.select(heading_f1("p", "t").alias("f")).collect()] == [0.0, 1.0]
+
+
+def test_distance_in_bands_and_blocks_against_a_table(monkeypatch):
+    r = random.Random(5)
+    for _ in range(1500):
+        for name, value in (("FIRST", r.choice([1, 2, 5, 20])), ("GROWS", r.choice([2, 4])), ("BLOCK", 4), ("HELD", r.choice([1, 1 << 20]))):
+            monkeypatch.setattr(edits, name, value)
+        letters = "ab天é😀"[: r.randint(1, 5)]
+        a = r.choices(letters, k=r.randint(0, 60))
+        b = [x for x in a if r.random() > 0.1] + r.choices(letters, k=r.randint(0, 4)) if r.random() < 0.8 else r.choices(letters, k=r.randint(0, 60))
+        want = _distance(a, b)
+        assert edits.distance(a, b) == edits.distance("".join(b), "".join(a)) == want
+    assert edits.distance(None, "a") is None and edits.distance("", "") == 0
+
+
+def test_distance_of_more_words_than_there_are_letters(spark):
+    n = 1_200_000  # more than Unicode has
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string")).alias("a"))
+    assert df.select(token_distance(F.reverse("a"), F.slice(F.reverse("a"), 2, n))).first()[0] == 1
