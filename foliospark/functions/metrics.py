@@ -167,7 +167,8 @@ def kendall(positions: Column) -> Column:
 def anchors(plain: Column, paragraphs: Column) -> Column:
     """Where the beginnings of the paragraphs stand in a normalised text."""
     keys = F.filter(F.transform(paragraphs, norm_text), lambda k: F.length(k) >= ANCHOR_LEAST)
-    return F.filter(F.transform(keys, lambda k: F.position(F.left(k, F.lit(ANCHOR)), plain)), lambda i: i > 0)
+    found = lambda text: F.transform(keys, lambda k: F.position(F.left(k, F.lit(ANCHOR)), text))
+    return F.filter(let(plain, found), lambda i: i > 0)
 
 
 def order_tau(pred: str | Column, paragraphs: str | Column) -> Column:

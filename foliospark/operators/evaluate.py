@@ -24,7 +24,8 @@ def score(results: DataFrame, truths: DataFrame) -> DataFrame:
     side has a number. Results without truth keep null metrics.
     """
     t = truths.select(F.col("id"), F.col("text").alias("t_text"), F.col("headings").alias("t_headings"), F.col("paragraphs").alias("t_paragraphs"), F.col("tables").alias("t_tables"))
-    out = results.join(t, "id", "left")
+    # texts are small for what their metrics take: joined parts are not put together by their size
+    out = results.join(t, "id", "left").repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     both = F.col("t_text").isNotNull() & F.col("markdown").isNotNull()
     # parts that several metrics or their lambdas read are columns of their own
     out = out.withColumn("_p", norm_text("markdown")).withColumn("_t", norm_text("t_text"))
