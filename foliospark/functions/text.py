@@ -236,7 +236,12 @@ def _signed(tok: Column, body: Column, plain: Column) -> Column:
 
 def numbers(c: str | Column) -> Column:
     """Canonical numbers of a text in order."""
-    found = F.transform(F.regexp_extract_all(norm_text(c), F.lit(f"({NUMBER})"), F.lit(1)), canon_number)
+    return plain_numbers(norm_text(c))
+
+
+def plain_numbers(p: Column) -> Column:
+    """As ``numbers``, for a normalised text."""
+    found = F.transform(F.regexp_extract_all(p, F.lit(f"({NUMBER})"), F.lit(1)), canon_number)
     return F.filter(found, lambda x: x.isNotNull())
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.metrics import anchors, heading_f1, kendall, multiset_f1, number_stats, plain_cer, plain_sim
-from foliospark.functions.text import cjk_inner_spaces, compat_residual, md_headings, md_tables, norm_text, norm_ws, numbers
+from foliospark.functions.text import cjk_inner_spaces, compat_residual, md_headings, md_tables, norm_text, norm_ws, plain_numbers
 from foliospark.operators.ranks import order_statistics
 
 # Columns whose means the report gives, and statuses that count as done.
@@ -24,8 +24,7 @@ def score(results: DataFrame, truths: DataFrame) -> DataFrame:
     side has a number. Results without truth keep null metrics.
     """
     t = truths.select(F.col("id"), F.col("text").alias("t_text"), F.col("headings").alias("t_headings"), F.col("paragraphs").alias("t_paragraphs"), F.col("tables").alias("t_tables"))
-    # texts are small for what their metrics take: joined parts are not put together by their size
-    out = results.join(t, "id", "left").repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    out = results.join(t, "id", "left")
     both = F.col("t_text").isNotNull() & F.col("markdown").isNotNull()
     # parts that several metrics or their lambdas read are columns of their own
     out = out.withColumn("_p", norm_text("markdown")).withColumn("_t", norm_text("t_text"))
@@ -33,7 +32,7 @@ def score(results: DataFrame, truths: DataFrame) -> DataFrame:
     flat = lambda c: F.filter(F.flatten(F.flatten(c)), lambda x: x != "")
     out = out.withColumns(
         {
-            "_np": numbers("markdown"), "_nt": numbers("t_text"), "_hp": md_headings("markdown"), "_ht": F.transform("t_headings", norm_text), "_tp": md_tables("markdown"),
+            "_np": plain_numbers(F.col("_p")), "_nt": plain_numbers(F.col("_t")), "_hp": md_headings("markdown"), "_ht": F.transform("t_headings", norm_text), "_tp": md_tables("markdown"),
             "_ct": flat(truth_cells), "_at": anchors(F.col("_p"), F.col("t_paragraphs")),
         }
     ).withColumn("_cp", flat(F.col("_tp")))

@@ -165,11 +165,12 @@ def q_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_score_documents")
 def q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of pages scored against the heading and text that their articles hold."""
-    nodes = html_nodes(table(spark, sf_dir, "pages"))
-    md = render_markdown(nodes).select(F.col("doc_id").cast("string").alias("id"), F.lit("own").alias("engine"), F.col("text").alias("markdown"))
+    # dealt out once, by page: texts are small for what their metrics take, so tasks are not put together by size
+    nodes = html_nodes(table(spark, sf_dir, "pages")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    md = render_markdown(nodes).select(F.col("doc_id").alias("id"), F.lit("own").alias("engine"), F.col("text").alias("markdown"))
     truth = nodes.where("type in ('heading', 'paragraph')").select("doc_id", "ord", F.col("type").alias("kind"), "level", F.col("content").alias("text"), "grid")
-    t = truths_from_blocks(truth).withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
-    return score(md, t).drop("markdown")
+    t = truths_from_blocks(truth).withColumnRenamed("doc_id", "id")
+    return score(md, t).drop("markdown").withColumn("id", F.col("id").cast("string"))
 
 
 @query(
